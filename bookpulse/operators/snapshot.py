@@ -16,27 +16,34 @@ _STATE = {
 }
 
 
-def position_state(
-    events: DataFrame, clock: Clock, hours: float = 24, exclude_system: bool = False
-) -> DataFrame:
-    """Latest mark, rating and trade with event count and time, one row per position.
+def state_aggregates() -> list[Column]:
+    """The states as aggregates of one grouping.
 
-    All five states come out of one scan and one shuffle. The filter sits in the ordering
-    key: rows of another type have a NULL key and never win.
+    The type filter sits in the ordering key: rows of another type have a NULL key and never win.
     """
-    rows = since(events, clock, hours=hours).where(F.col("position_id").isNotNull())
-    if exclude_system:
-        rows = rows.where(F.col("event_type") != S.WARMUP)
     when = F.struct("event_ts", "event_id")
 
     def newest(event_type: str, columns: list[str]) -> Column:
         return F.max_by(F.struct(*columns), F.when(F.col("event_type") == event_type, when))
 
-    return rows.groupBy("position_id").agg(
+    return [
         *[newest(kind, columns).alias(name) for name, (kind, columns) in _STATE.items()],
         F.count("*").alias("n"),
         F.max("event_ts").alias("latest_event_ts"),
-    )
+    ]
+
+
+def position_state(
+    events: DataFrame, clock: Clock, hours: float = 24, exclude_system: bool = False
+) -> DataFrame:
+    """Latest mark, rating and trade with event count and time, one row per position.
+
+    All of it comes out of one scan and one shuffle of one row per position and task.
+    """
+    rows = since(events, clock, hours=hours).where(F.col("position_id").isNotNull())
+    if exclude_system:
+        rows = rows.where(F.col("event_type") != S.WARMUP)
+    return rows.groupBy("position_id").agg(*state_aggregates())
 
 
 def portfolio_live(

@@ -67,13 +67,13 @@ def query_model(
     tables: dict[str, DataFrame],
     dims: list[str],
     measures: list[str],
-    where: str | None = None,
+    where: dict[str, list] | None = None,
     order: list[Column] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Group the measures by the dimensions.
 
-    ``where`` is a condition on dimension names. Facts are aggregated by foreign key before they
+    ``where`` lists allowed values per dimension. Facts are aggregated by foreign key before they
     meet the dimension table, so the join handles one row per key whatever the skew of the fact.
     """
     chosen = {name: model.measures[name] for name in measures}
@@ -81,9 +81,8 @@ def query_model(
     if len(bases) != 1:
         raise ValueError(f"measures must come from one table, not {sorted(bases)}")
     base = bases.pop()
-    named = {
-        n: d for n, d in model.dimensions.items() if n in dims or (where and _mentions(where, n))
-    }
+    where = where or {}
+    named = {n: d for n, d in model.dimensions.items() if n in dims or n in where}
     links = {r.dim: r for r in model.relationships if r.fact == base}
     far = {d.table for d in named.values()} - {base}
     if far - set(links):
@@ -93,6 +92,8 @@ def query_model(
     if base in model.default_filters:
         rows = rows.where(model.default_filters[base])
     near = {n: d for n, d in named.items() if d.table == base}
+    for n in near.keys() & where.keys():
+        rows = rows.where(F.col(near[n].column).isin(where[n]))
     keys = {f"_key_{links[t].key}": F.col(links[t].key) for t in far}
     grouped = rows.groupBy(
         *[F.col(d.column).alias(n) for n, d in near.items()],
@@ -103,18 +104,14 @@ def query_model(
         wanted = [F.col(d.column).alias(n) for n, d in named.items() if d.table == t]
         side = tables[t].select(F.col(key).alias(f"_key_{key}"), *wanted)
         grouped = grouped.join(side, f"_key_{key}", "left")
-    if where:
-        grouped = grouped.where(where)
+    for n in where.keys() - near.keys():
+        grouped = grouped.where(F.col(n).isin(where[n]))
     result = grouped.groupBy(*dims).agg(*[m.final(f"_part_{n}").alias(n) for n, m in chosen.items()])
     if order:
         result = result.orderBy(*order)
     return result.limit(limit) if limit is not None else result
 
 
-def _mentions(condition: str, name: str) -> bool:
-    return name in condition.replace("(", " ").replace(")", " ").replace("=", " ").split()
-
-
 def check_relationship(model_link: Relationship, tables: dict[str, DataFrame]) -> DataFrame:
     """Keys that occur more than once on the one-side; empty when the relationship holds."""
     return tables[model_link.dim].groupBy(model_link.key).count().where("count > 1")
