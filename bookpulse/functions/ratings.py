@@ -7,7 +7,7 @@ from bookpulse.schemas import RATING_LADDER
 
 
 def _ladder() -> Column:
-    return F.array(*[F.lit(grade) for grade in RATING_LADDER])
+    return F.split(F.lit(",".join(RATING_LADDER)), ",")
 
 
 def ordinal(rating: Column) -> Column:

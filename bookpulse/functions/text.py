@@ -16,14 +16,13 @@ def plain(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct three-letter pieces of the padded plain text."""
     padded = F.concat(F.lit("  "), plain(text), F.lit(" "))
-    last = F.length(padded) - 2
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(3)))
-    )
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(...))"), 1))
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    return F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right))
+    """Similarity of two sets, each an array without repeats."""
+    common = F.size(F.array_intersect(left, right))
+    return common / (F.size(left) + F.size(right) - common)
 
 
 def event_label(number: Column, event_type: Column) -> Column:

@@ -116,13 +116,20 @@ def end_offsets(rows: DataFrame, key: str = "position_id", order: tuple[str, ...
     )
 
 
-def in_key_order(rows: DataFrame, key: str = "position_id", order: tuple[str, ...] = ("event_ts", "event_id")):
+def in_key_order(
+    rows: DataFrame,
+    key: str = "position_id",
+    order: tuple[str, ...] = ("event_ts", "event_id"),
+    folder: str | None = None,
+) -> DataFrame:
     """Rows grouped by key and ordered within it, for writing.
 
     Range partitioning by key and order splits a hot key into consecutive ranges, where hash
-    partitioning would send all of it to one task.
+    partitioning would send all of it to one task. With the ``folder`` column of a partitioned
+    table in front, a task writes few folders and a large folder gets many tasks.
     """
-    return rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    columns = [*([folder] if folder else []), key, *order]
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
 def channel_counts(rows: DataFrame, channels: int = 4, key: str = "position_id") -> DataFrame:

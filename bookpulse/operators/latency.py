@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookpulse.functions.money import rounded
 from bookpulse.functions.text import event_label
+from bookpulse.operators.joins import join_groups
 from bookpulse.operators.latest import retain_newest
 from bookpulse.operators.ranks import upper_median, values_at_ranks
 
@@ -17,13 +19,18 @@ STEPS = {
 }
 
 
+def _tenths(ms: Column) -> Column:
+    """Half-up tenths of the decimal value, so 30.45 gives 30.5 whatever its binary form."""
+    return rounded(ms.cast("decimal(18,6)"), 1)
+
+
 def attribute(traces: DataFrame) -> DataFrame:
     """Add the derived segments: time on the wire and the wait until the row was visible."""
     wire = F.coalesce("roundtrip_ms", F.lit(0.0)) - F.coalesce("total_handler_ms", F.lit(0.0))
     waited = F.greatest(F.lit(0.0), F.col("visible_ms") - F.coalesce("roundtrip_ms", F.lit(0.0)))
     return traces.withColumns({
-        "network_ms": F.round(wire, 1),
-        "poll_ms": F.round(F.coalesce(waited, F.lit(0.0)), 1),
+        "network_ms": _tenths(wire),
+        "poll_ms": _tenths(F.coalesce(waited, F.lit(0.0))),
     })
 
 
@@ -47,10 +54,17 @@ def summary(traces: DataFrame, keys: list[str]) -> DataFrame:
     """Fired and completed events, upper medians, extremes, mean round trip without errors."""
     traces = attribute(traces)
     done = traces.where(F.coalesce(F.col("visible_ms"), F.lit(0.0)) != 0)
-    flush = F.coalesce("flush_committed_ms", F.lit(0.0))
-    visible = values_at_ranks(done, keys, "visible_ms", {"median_visible_ms": upper_median})
-    flushed = values_at_ranks(
-        done.withColumn("_flush", flush), keys, "_flush", {"median_flush_ms": upper_median}
+    measures = done.select(
+        *keys, "visible_ms", F.coalesce("flush_committed_ms", F.lit(0.0)).alias("flush_ms")
+    ).unpivot(keys, ["visible_ms", "flush_ms"], "measure", "ms")
+    found = values_at_ranks(measures, [*keys, "measure"], "ms", {"median": upper_median})
+
+    def median(measure: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col("median")))
+
+    medians = found.groupBy(*keys).agg(
+        median("visible_ms").alias("median_visible_ms"),
+        median("flush_ms").alias("median_flush_ms"),
     )
     clean = F.when(F.col("error").isNull(), F.col("roundtrip_ms").cast("decimal(28,6)"))
     totals = traces.groupBy(*keys).agg(
@@ -61,7 +75,6 @@ def summary(traces: DataFrame, keys: list[str]) -> DataFrame:
         F.round(F.sum(clean).cast("double") / F.count(clean), 2).alias("avg_roundtrip_ms"),
     )
     return (
-        totals.join(visible.drop("total"), keys, "left")
-        .join(flushed.drop("total"), keys, "left")
+        join_groups(totals, medians, keys, "left")
         .withColumn("grade", bucket(F.col("median_visible_ms")))
     )

@@ -13,7 +13,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLABS = 64
+from bookpulse.operators.joins import join_groups
+
+
+def _cuts(value: str, side: int) -> Column:
+    """Quantiles of the distinct values as ``side`` rows of ``side - 1`` cuts and a last cut."""
+    n = side * side
+    points = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    cuts = F.expr(f"percentile_approx(`{value}`, array({points}), {10 * n})")
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(side - 1)), lambda row: F.slice(cuts, row * side + 1, side)
+    )
+
+
+def _slab(cuts: Column, value: Column, side: int) -> Column:
+    """Number of cuts below the value: first the row it falls into, then the place in the row."""
+    full_rows = F.size(F.filter(cuts, lambda row: F.get(row, side - 1) < value))
+    within = F.size(F.filter(F.get(cuts, full_rows), lambda cut: cut < value))
+    return F.coalesce(full_rows * side + within, F.lit(0))
 
 
 def values_at_ranks(
@@ -21,31 +38,32 @@ def values_at_ranks(
     keys: list[str],
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
+    side: int = 16,
 ) -> DataFrame:
     """Per key, the number of values as ``total`` and the value at each rank.
 
     ``ranks`` maps an output name to a function of the total that gives a rank from 0.
-    NULL values are left out.
+    NULL values are left out. Each key is worked on in ``side`` squared slabs.
     """
     copies = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count("*").alias("copies"))
     )
-    cut_at = [i / _SLABS for i in range(1, _SLABS)]
-    cuts = copies.groupBy(*keys).agg(F.percentile_approx(value, cut_at, 1000).alias("cuts"))
+    key_facts = copies.groupBy(*keys).agg(
+        F.struct(F.sum("copies").alias("total"), _cuts(value, side).alias("cuts")).alias("of_key")
+    )
     if keys:
-        tagged = copies.join(cuts, keys)
+        tagged = join_groups(copies, key_facts, keys)
     else:
-        tagged = copies.withColumn("cuts", cuts.scalar())
-    below = F.size(F.filter("cuts", lambda cut: cut < F.col(value)))
-    tagged = tagged.withColumn("slab", below).drop("cuts")
+        tagged = copies.withColumn("of_key", key_facts.scalar())
+    slab = _slab(F.col("of_key.cuts"), F.col(value), side)
+    tagged = tagged.select(*keys, value, "copies", "of_key.total", slab.alias("slab"))
 
     per_key = Window.partitionBy(*keys)
     slabs = (
         tagged.groupBy(*keys, "slab")
-        .agg(F.sum("copies").alias("slab_copies"))
-        .withColumn("total", F.sum("slab_copies").over(per_key))
+        .agg(F.sum("copies").alias("slab_copies"), F.max("total").alias("total"))
         .withColumn("slab_end", F.sum("slab_copies").over(per_key.orderBy("slab")))
         .withColumn("slab_start", F.col("slab_end") - F.col("slab_copies"))
     )
@@ -53,12 +71,12 @@ def values_at_ranks(
     holds_rank = F.lit(False)
     for rank in wanted.values():
         holds_rank |= (rank >= F.col("slab_start")) & (rank < F.col("slab_end"))
-    slabs = slabs.where(holds_rank).select(*keys, "slab", "slab_start", "total")
+    slabs = slabs.where(holds_rank).select(*keys, "slab", "slab_start")
 
     in_slab = Window.partitionBy(*keys, "slab").orderBy(value)
     end = F.col("slab_start") + F.sum("copies").over(in_slab)
     ordered = (
-        tagged.join(slabs, [*keys, "slab"])
+        join_groups(tagged, slabs, [*keys, "slab"])
         .withColumn("end", end)
         .withColumn("start", F.col("end") - F.col("copies"))
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookpulse.functions.text import as_variant
 from bookpulse.functions.time import Clock, bin_start, since
+from bookpulse.operators.joins import join_groups
 from bookpulse.operators.latest import retain_newest
-from bookpulse.operators.ranks import p95_or_max, upper_median, values_at_ranks
+from bookpulse.operators.ranks import p95_or_max, upper_median
 
 
 def metric_points(observations: DataFrame, kind: str, metrics: list[str]) -> DataFrame:
@@ -51,7 +52,7 @@ def timechart(
         bin_start(clock.ago(hours=hours), step_seconds), bin_start(clock.now(), step_seconds), step
     )
     spine = binned.select(*keys).distinct().select(*keys, F.explode(bins).alias("bin"))
-    return spine.join(binned, [*keys, "bin"], "left").select(
+    return join_groups(spine, binned, [*keys, "bin"], "left").select(
         *keys, "bin", "value", F.coalesce("points", F.lit(0).cast("bigint")).alias("points")
     )
 
@@ -81,29 +82,38 @@ def metric_summary(
     metrics: DataFrame,
     window_seconds: int = 300,
     order: tuple[str, ...] = ("ts",),
-    keep: int | None = None,
+    keep: int = 1000,
 ) -> DataFrame:
     """Count, median, p95, mean and maximum per requested metric, zeros without points.
 
-    ``keep`` applies the store's retention (newest points per series) first.
+    The store retains the newest ``keep`` points of a series, so the ranking below works on
+    groups of that size, in the partitions the retention step made.
     """
-    if keep is not None:
-        points = retain_newest(points, ["metric"], keep, order)
-    recent = since(points, clock, ts="ts", seconds=window_seconds)
-    ranked = values_at_ranks(
-        recent, ["metric"], "value", {"p50": upper_median, "p95": p95_or_max}
-    )
+    stored = retain_newest(points, ["metric"], keep, order)
+    recent = since(stored, clock, ts="ts", seconds=window_seconds)
+    series = Window.partitionBy("metric")
+    placed = recent.withColumn(
+        "place", F.row_number().over(series.orderBy("value")) - 1
+    ).withColumn("total", F.count("*").over(series))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(F.col("place") == rank, F.col("value")))
+
+    total = F.col("total")
     mean = F.sum(F.col("value").cast("decimal(28,6)")).cast("double") / F.count("value")
-    moments = recent.groupBy("metric").agg(
-        F.bround(mean, 1).alias("avg"), F.max("value").alias("max")
+    summary = placed.groupBy("metric").agg(
+        F.count("*").alias("count"),
+        value_at(upper_median(total)).alias("p50"),
+        value_at(p95_or_max(total)).alias("p95"),
+        F.bround(mean, 1).alias("avg"),
+        F.max("value").alias("max"),
     )
     zero = F.lit(0.0)
     return (
-        metrics.join(ranked, "metric", "left")
-        .join(moments, "metric", "left")
+        metrics.join(summary, "metric", "left")
         .select(
             "metric",
-            F.coalesce("total", F.lit(0).cast("bigint")).alias("count"),
+            F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
             *[F.coalesce(name, zero).alias(name) for name in ("p50", "p95", "avg", "max")],
         )
     )

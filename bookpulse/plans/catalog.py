@@ -374,7 +374,7 @@ def _metric_summary(b: Book) -> DataFrame:
     asked = [("purchase",), ("click",), ("error",), ("signup",), ("view",), ("missing",)]
     metrics = tables.literal_rows(b.spark, asked, "metric string")
     return series.metric_summary(
-        b.store, b.clock, metrics, window_seconds=86400, order=("ts", "event_id"), keep=1000
+        b.store, b.clock, metrics, window_seconds=86400, order=("ts", "event_id")
     )
 
 
@@ -480,5 +480,16 @@ QUERIES = {
 }
 
 
+_OPEN: dict[tuple, Book] = {}
+
+
+def open_book(spark: SparkSession, sf_dir: str) -> Book:
+    """The tables of a folder, set up once per session like views. No data is cached."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = Book(spark, sf_dir)
+    return _OPEN[key]
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES[name](Book(spark, sf_dir))
+    return QUERIES[name](open_book(spark, sf_dir))

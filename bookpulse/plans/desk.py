@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def enrich(events: DataFrame, positions: DataFrame) -> DataFrame:
 def tape(events: DataFrame, positions: DataFrame, limit: int = 30) -> DataFrame:
     """The newest events. The limit comes before the join, so n rows are enriched, not the fact."""
     newest = top_n(events.where(not_warmup()), limit, *newest_first())
-    return enrich(newest, positions).orderBy(*newest_first())
+    return top_n(enrich(newest, positions), limit, *newest_first())
 
 
 def pnl_today(live: DataFrame) -> DataFrame:
@@ -119,11 +121,13 @@ def watchlist_count(positions: DataFrame) -> DataFrame:
 
 
 def hourly_trades(events: DataFrame, clock: Clock, hours: float = 24) -> DataFrame:
+    """Trades per hour. The window touches at most one hour more than its length."""
     trades = since(events, clock, hours=hours).where(F.col("event_type") == S.TRADE)
     return (
         trades.groupBy(hour_of(F.col("event_ts")).alias("hour"))
         .agg(F.count("*").alias("trade_count"))
         .orderBy("hour")
+        .limit(math.ceil(hours) + 1)
     )
 
 

@@ -44,15 +44,12 @@ def top_sectors_by_par(positions: DataFrame, n: int = 5) -> DataFrame:
 def latest_trades(events: DataFrame, positions: DataFrame, n: int = 10) -> DataFrame:
     newest = top_n(of_type(events, S.TRADE), n, *newest_first())
     names = positions.select("position_id", "issuer", "fund")
-    return (
-        newest.join(names, "position_id", "left")
-        .orderBy(*newest_first())
-        .select(
-            "event_id", "event_ts", "position_id", "issuer", "fund", "side",
-            F.col("qty").cast("double").alias("qty"),
-            F.col("price").cast("double").alias("price"),
-            "counterparty",
-        )
+    named = newest.join(names, "position_id", "left")
+    return top_n(named, n, *newest_first()).select(
+        "event_id", "event_ts", "position_id", "issuer", "fund", "side",
+        F.col("qty").cast("double").alias("qty"),
+        F.col("price").cast("double").alias("price"),
+        "counterparty",
     )
 
 

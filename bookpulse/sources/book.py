@@ -2,77 +2,78 @@
 
 ``events`` stands in for the event fact and ``customer`` with ``nation`` and ``region`` for the
 position dimension. Everything is a projection, so the whole of each table flows through.
+Schemas are declared: opening a table reads no footer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
 from bookpulse import schemas as S
 
-# Schema of the raw events file, for streaming reads.
-RAW_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("props", T.StringType()),
-])
-
-TYPE_MAP = {
-    "purchase": S.TRADE,
-    "click": S.MARK,
-    "error": S.CREDIT_EVENT,
-    "signup": S.WARMUP,
-    "view": "VIEW",
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_LADDER = "array(" + ", ".join(f"'{g}'" for g in S.RATING_LADDER) + ")"
+_GRADES = len(S.RATING_LADDER)
+
+K = "cast(get_json_object(props, '$.k') as int)"
+
+_EVENT_COLUMNS = [
+    "event_id",
+    "ts AS event_ts",
+    "ts + make_dt_interval(0, 0, 0, k / 1000BD) AS ingested_ts",
+    f"""CASE event_type WHEN 'purchase' THEN '{S.TRADE}' WHEN 'click' THEN '{S.MARK}'
+        WHEN 'error' THEN '{S.CREDIT_EVENT}' WHEN 'signup' THEN '{S.WARMUP}'
+        WHEN 'view' THEN 'VIEW' END AS event_type""",
+    "user_id AS position_id",
+    "CASE WHEN event_type = 'purchase' THEN if(k % 2 = 0, 'BUY', 'SELL') END AS side",
+    "CASE WHEN event_type = 'purchase' THEN cast(k * 100 AS decimal(18,2)) END AS qty",
+    "CASE WHEN event_type = 'purchase' THEN cast(value AS decimal(10,4)) END AS price",
+    "CASE WHEN event_type = 'purchase' THEN concat('CP-', k % 10) END AS counterparty",
+    "CASE WHEN event_type = 'click' THEN cast(50 AS decimal(10,4)) END AS prev_mark",
+    "CASE WHEN event_type = 'click' THEN cast(value AS decimal(10,4)) END AS new_mark",
+    "CASE WHEN event_type = 'click' THEN concat('SRC-', k % 5) END AS mark_source",
+    f"CASE WHEN event_type = 'error' THEN element_at({_LADDER}, k % {_GRADES} + 1) END AS from_rating",
+    f"CASE WHEN event_type = 'error' THEN element_at({_LADDER}, k * 7 % {_GRADES} + 1) END AS to_rating",
+    "CASE WHEN event_type = 'error' THEN concat('AG-', k % 3) END AS agency",
+    "try_parse_json(props) AS payload",
+    f"if(event_type = 'signup', '{S.WARMUP_SOURCE}', 'app') AS source_app",
+]
+
+_POSITION_COLUMNS = [
+    "c_custkey AS position_id",
+    "c_name AS issuer",
+    "c_mktsegment AS sector",
+    "r_name AS tranche",
+    "cast(abs(cast(c_acctbal AS decimal(18,2))) AS decimal(18,2)) AS par_amount",
+    "cast(400 + c_custkey % 500 AS decimal(8,1)) AS original_spread_bps",
+    "cast(2022 + c_custkey % 5 AS int) AS vintage_year",
+    "n_name AS fund",
+    "c_custkey % 10 = 0 AS watchlist",
+    f"element_at({_LADDER}, cast(c_custkey % {_GRADES} + 1 AS int)) AS current_rating",
+    "cast(50 AS decimal(10,4)) AS baseline_mark",
+]
 
 
-def _ladder_at(index: Column) -> Column:
-    ladder = F.array(*[F.lit(g) for g in S.RATING_LADDER])
-    return F.element_at(ladder, (index % F.lit(len(S.RATING_LADDER)) + 1).cast("int"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_book_events(raw: DataFrame) -> DataFrame:
     """Map raw rows onto the event fact; works on batches and streams."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    raw = raw.withColumn("k", k)
-
-    def only(raw_type: str, column: Column) -> Column:
-        return F.when(kind == raw_type, column)
-
-    mapped_type = F.lit(None).cast("string")
-    for source, target in TYPE_MAP.items():
-        mapped_type = F.when(kind == source, F.lit(target)).otherwise(mapped_type)
-    k = F.col("k")
-    mark = F.col("value").cast("decimal(10,4)")
-    return raw.select(
-        "event_id",
-        F.col("ts").alias("event_ts"),
-        (F.col("ts") + F.make_dt_interval(secs=k.cast("decimal(18,6)") / 1000)).alias("ingested_ts"),
-        mapped_type.alias("event_type"),
-        F.col("user_id").alias("position_id"),
-        only("purchase", F.when(k % 2 == 0, "BUY").otherwise("SELL")).alias("side"),
-        only("purchase", (k * 100).cast("decimal(18,2)")).alias("qty"),
-        only("purchase", mark).alias("price"),
-        only("purchase", F.concat(F.lit("CP-"), (k % 10).cast("string"))).alias("counterparty"),
-        only("click", F.lit(50).cast("decimal(10,4)")).alias("prev_mark"),
-        only("click", mark).alias("new_mark"),
-        only("click", F.concat(F.lit("SRC-"), (k % 5).cast("string"))).alias("mark_source"),
-        only("error", _ladder_at(k)).alias("from_rating"),
-        only("error", _ladder_at(k * 7)).alias("to_rating"),
-        only("error", F.concat(F.lit("AG-"), (k % 3).cast("string"))).alias("agency"),
-        F.try_parse_json("props").alias("payload"),
-        F.when(kind == "signup", S.WARMUP_SOURCE).otherwise("app").alias("source_app"),
-    )
+    return raw.selectExpr("*", f"{K} AS k").selectExpr(*_EVENT_COLUMNS)
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
     raw = (
-        spark.readStream.schema(RAW_SCHEMA)
+        spark.readStream.schema(TABLE_SCHEMAS["events"])
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{sf_dir}/events*.parquet")
     )
@@ -89,23 +90,10 @@ def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -
 
 
 def load_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per position. Nation and region are fixed-size lookups, left to Catalyst's size check."""
-    key = F.col("c_custkey")
+    """One row per position. Nation and region are lookups of fixed size, left to Catalyst's check."""
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     return (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select(
-            key.alias("position_id"),
-            F.col("c_name").alias("issuer"),
-            F.col("c_mktsegment").alias("sector"),
-            F.col("r_name").alias("tranche"),
-            F.abs(F.col("c_acctbal").cast("decimal(18,2)")).cast("decimal(18,2)").alias("par_amount"),
-            (F.lit(400) + key % 500).cast("decimal(8,1)").alias("original_spread_bps"),
-            (F.lit(2022) + key % 5).cast("int").alias("vintage_year"),
-            F.col("n_name").alias("fund"),
-            (key % 10 == 0).alias("watchlist"),
-            _ladder_at(key).alias("current_rating"),
-            F.lit(50).cast("decimal(10,4)").alias("baseline_mark"),
-        )
+        customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+        .join(region, nation.n_regionkey == region.r_regionkey, "left")
+        .selectExpr(*_POSITION_COLUMNS)
     )

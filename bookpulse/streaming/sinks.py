@@ -65,7 +65,9 @@ class EventSink:
         if newest_before is not None:
             late = F.col("event_ts") < F.lit(newest_before - self.lateness).cast("timestamp_ntz")
 
-        batch.where(~known).write.mode("overwrite").parquet(f"{self.quarantine}/batch_id={batch_id}")
+        if seen["quarantined"]:
+            unknown = batch.where(~known).drop("event_date")
+            unknown.write.mode("overwrite").parquet(f"{self.quarantine}/batch_id={batch_id}")
         rows = batch.where(known).dropDuplicates(["event_id"]).withColumn("late", late)
         stored = _read_if_any(spark, self.events)
         if stored is not None:
@@ -75,16 +77,19 @@ class EventSink:
                 rows.select("event_id"), "event_id", "left_semi"
             )
             rows = rows.join(again, "event_id", "left_anti")
-        in_key_order(rows).write.mode("append").partitionBy("event_date").parquet(self.events)
+        ordered = in_key_order(rows, folder="event_date")
+        ordered.write.mode("append").partitionBy("event_date").parquet(self.events)
         self._log(spark, batch_id, seen, newest_before)
         batch.unpersist()
 
     def _log(self, spark: SparkSession, batch_id: int, seen, newest_before) -> None:
         times = [t for t in (seen["newest"], newest_before) if t is not None]
-        row = (max(times) if times else None, seen["received"], seen["quarantined"])
-        spark.createDataFrame(
-            [row], "newest_event_ts timestamp_ntz, received bigint, quarantined bigint"
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.progress}/batch_id={batch_id}")
+        newest = max(times) if times else None
+        spark.range(0, 1, 1, 1).select(
+            F.lit(newest).cast("timestamp_ntz").alias("newest_event_ts"),
+            F.lit(seen["received"]).alias("received"),
+            F.lit(seen["quarantined"]).alias("quarantined"),
+        ).write.mode("overwrite").parquet(f"{self.progress}/batch_id={batch_id}")
 
 
 class ChangeSink:
