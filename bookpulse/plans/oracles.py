@@ -427,7 +427,7 @@ FROM totals LEFT JOIN medians USING (event_type)
 """, _TRACE),
     "retain_last_n": """
 SELECT event_id, ts, metric, value,
-  row_number() OVER (PARTITION BY metric ORDER BY ts, event_id) AS seq
+  CAST(row_number() OVER (PARTITION BY metric ORDER BY ts, event_id) AS INTEGER) AS seq
 FROM (SELECT event_id, ts, event_type AS metric, value,
     row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
 WHERE r <= 1000
@@ -583,7 +583,7 @@ SELECT tranche, watchlist, CAST(round(sum(par_amount), 2) AS DOUBLE) AS par, cou
 FROM pos GROUP BY tranche, watchlist
 """),
     "column_profile": _q(f"""
-SELECT * FROM (
+SELECT column_name, value, count, CAST(rank AS INTEGER) AS rank FROM (
   SELECT column_name, value, count(*) AS count,
     row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rank
   FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY column_name, value) WHERE rank <= 5
@@ -598,7 +598,8 @@ WITH parts AS (
   SELECT p_partkey AS position_id, p_name AS issuer, p_brand AS sector, p_type AS tranche FROM part
 )
 """ + _search_cte("parts", ["red widgt", "smal ring", "Blue  BOLT"], "hits") + """
-SELECT query_id, query, position_id, issuer, sector, tranche, score, distance, rank
+SELECT query_id, query, position_id, issuer, sector, tranche, score,
+  CAST(distance AS INTEGER) AS distance, CAST(rank AS INTEGER) AS rank
 FROM hits WHERE rank <= 10
 """,
     "conversation_history": """
