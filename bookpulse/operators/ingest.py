@@ -60,12 +60,16 @@ def validate(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reasons", F.array_compact(problems))
 
 
+def is_accepted() -> Column:
+    return F.size("reasons") == 0
+
+
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("reasons") == 0).drop("reasons")
+    return validated.where(is_accepted()).drop("reasons")
 
 
 def quarantined(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("reasons") > 0)
+    return validated.where(~is_accepted())
 
 
 def normalise(

@@ -53,23 +53,31 @@ def segments(traces: DataFrame, session: str, history: int = 50) -> DataFrame:
 def summary(traces: DataFrame, keys: list[str]) -> DataFrame:
     """Fired and completed events, upper medians, extremes, mean round trip without errors."""
     traces = attribute(traces)
-    done = traces.where(F.coalesce(F.col("visible_ms"), F.lit(0.0)) != 0)
-    measures = done.select(
-        *keys, "visible_ms", F.coalesce("flush_committed_ms", F.lit(0.0)).alias("flush_ms")
-    ).unpivot(keys, ["visible_ms", "flush_ms"], "measure", "ms")
+    done = F.coalesce(F.col("visible_ms"), F.lit(0.0)) != 0
+    flush = F.coalesce("flush_committed_ms", F.lit(0.0))
+    # Values of unfinished events are NULL, which the ranks leave out.
+    measures = traces.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.lit("visible").alias("measure"), F.when(done, F.col("visible_ms")).alias("ms")),
+                F.struct(F.lit("flush").alias("measure"), F.when(done, flush).alias("ms")),
+            )
+        ),
+    )
     found = values_at_ranks(measures, [*keys, "measure"], "ms", {"median": upper_median})
 
     def median(measure: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col("median")))
 
     medians = found.groupBy(*keys).agg(
-        median("visible_ms").alias("median_visible_ms"),
-        median("flush_ms").alias("median_flush_ms"),
+        median("visible").alias("median_visible_ms"),
+        median("flush").alias("median_flush_ms"),
     )
     clean = F.when(F.col("error").isNull(), F.col("roundtrip_ms").cast("decimal(28,6)"))
     totals = traces.groupBy(*keys).agg(
         F.count("*").alias("fired"),
-        F.count_if(F.coalesce(F.col("visible_ms"), F.lit(0.0)) != 0).alias("completed"),
+        F.count_if(done).alias("completed"),
         F.min(F.nullif("visible_ms", F.lit(0.0))).alias("min_visible_ms"),
         F.max(F.nullif("visible_ms", F.lit(0.0))).alias("max_visible_ms"),
         F.round(F.sum(clean).cast("double") / F.count(clean), 2).alias("avg_roundtrip_ms"),
