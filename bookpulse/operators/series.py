@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from bookpulse.functions.text import as_variant
 from bookpulse.functions.time import Clock, bin_start, since
-from bookpulse.operators.joins import join_groups
 from bookpulse.operators.latest import retain_newest
 from bookpulse.operators.ranks import p95_or_max, upper_median
 
@@ -40,20 +39,28 @@ def timechart(
 ) -> DataFrame:
     """One row per key and bin over the trailing range, bins without points included.
 
-    The spine of bins is built per key after aggregation, so it is as large as the answer and
-    is joined on (keys, bin) to rows that are already one per bin.
+    Points are aggregated per bin first. Each bin then also stands for the empty ones up to the
+    next, and the first for those before it, so the gaps are filled without a second pass.
     """
     recent = since(points, clock, ts="ts", hours=hours)
-    binned = recent.groupBy(*keys, bin_start(F.col("ts"), step_seconds).alias("bin")).agg(
-        value.alias("value"), F.count("*").alias("points")
+    binned = recent.groupBy(*keys, bin_start(F.col("ts"), step_seconds).alias("_bin")).agg(
+        value.alias("_value"), F.count("*").alias("_points")
     )
     step = F.make_dt_interval(secs=F.lit(step_seconds))
-    bins = F.sequence(
-        bin_start(clock.ago(hours=hours), step_seconds), bin_start(clock.now(), step_seconds), step
-    )
-    spine = binned.select(*keys).distinct().select(*keys, F.explode(bins).alias("bin"))
-    return join_groups(spine, binned, [*keys, "bin"], "left").select(
-        *keys, "bin", "value", F.coalesce("points", F.lit(0).cast("bigint")).alias("points")
+    start = bin_start(clock.ago(hours=hours), step_seconds)
+    end = bin_start(clock.now(), step_seconds)
+    in_time = Window.partitionBy(*keys).orderBy("_bin")
+    placed = binned.withColumns({
+        "_from": F.when(F.lag("_bin").over(in_time).isNull(), start).otherwise(F.col("_bin")),
+        "_to": F.coalesce(F.lead("_bin").over(in_time) - step, F.greatest(end, F.col("_bin"))),
+    })
+    bins = placed.withColumn("bin", F.explode(F.sequence("_from", "_to", step)))
+    own = F.col("bin") == F.col("_bin")
+    return bins.select(
+        *keys,
+        "bin",
+        F.when(own, F.col("_value")).alias("value"),
+        F.when(own, F.col("_points")).otherwise(0).alias("points"),
     )
 
 
