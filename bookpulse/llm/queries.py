@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookpulse.llm import exact_dedup, mixing, quality
+from bookpulse.llm import chat, exact_dedup, html, langid, mixing, quality
 from bookpulse.llm.common import table
 
 
+def fold(parts: int) -> Column:
+    """The remainder of the checksum of a document's id as text; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -22,4 +28,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_mixing, op5_quality)}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(rows))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(3) == 1
+    learned = langid.profiles(docs.where(~held_out).select("lang", "text"))
+    return langid.detect(docs, learned, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_exact_dedup, op4_mixing, op5_quality, op7_chat_format, op8_language_id, op9_html_extract)
+}
