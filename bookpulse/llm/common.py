@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +54,21 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, rows: Callable[.
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    """The Arrow form of a schema. Python workers of this machine find this package where the driver did."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    seen = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in seen:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, seen)])
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id and text digest are among ``kept`` (doc_id, sha), once each."""
+    once = store(kept.distinct(), "kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    met = docs.withColumn("__own", F.sha2(text_of().cast("binary"), 256)).join(
+        once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    )
+    return met.dropDuplicates(["__id", "__own"]).select(*docs.columns)

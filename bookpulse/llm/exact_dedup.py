@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import store, text_of
+from bookpulse.llm.common import keep_rows, store, text_of
 
 BLOCK_BYTES = 16_384
 
@@ -121,15 +121,5 @@ def distinct_documents(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
     Rows that also share their id are told apart by nothing but place; of those, one stays.
     """
-    marked = duplicate_groups(docs, size)
-    kept = store(marked.groupBy("doc_id", F.col("text_sha256").alias("__sha")).agg(
-        F.max("kept").alias("__kept"), F.count("*").alias("__rows")
-    ).where("__kept"), "kept").withColumnRenamed("doc_id", "__id")
-    sha = F.sha2(text_of().cast("binary"), 256)
-    met = docs.withColumn("__own", sha).join(
-        kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    )
-    columns = [docs[name] for name in docs.columns]
-    once = met.where("__rows = 1").select(*columns)
-    again = met.where("__rows > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    marked = duplicate_groups(docs, size).where("kept")
+    return keep_rows(docs, marked.select("doc_id", F.col("text_sha256").alias("sha")))

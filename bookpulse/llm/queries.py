@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, exact_dedup, html, langid, mixing, quality
+from bookpulse.llm import chat, exact_dedup, html, langid, mixing, quality, simhash
 from bookpulse.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
@@ -50,5 +54,5 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_exact_dedup, op4_mixing, op5_quality, op7_chat_format, op8_language_id, op9_html_extract)
+    for f in (op3_exact_dedup, op4_mixing, op5_quality, op6_simhash, op7_chat_format, op8_language_id, op9_html_extract)
 }
