@@ -39,8 +39,8 @@ from bookpulse.llm.common import pa_schema, store, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 MARK = "▁"
-#: Entries a worker remembers of words and of pairs; then it starts anew.
-REMEMBERED = 500_000
+#: Words and pairs that a worker remembers before it drops the older ones.
+REMEMBERED = 400_000
 NEVER = -math.inf
 #: The parts of a text between its cuts.
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,7 +55,6 @@ class Lattice:
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.cuts = not any(b == MARK != a for piece in scores for a, b in zip(piece, piece[1:], strict=False))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding: of all adjacent pairs that form a piece, the best and leftmost first."""
@@ -73,7 +72,7 @@ class Lattice:
         if known is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            known = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return known
 
     def forward(self, text: str, start: int, end: int, before: str = "") -> tuple[list[float], list[int]]:
@@ -93,8 +92,7 @@ class Lattice:
                 if from_ == NEVER or (width > 1 and piece not in scores):
                     continue
                 if self.merged:
-                    previous = last[at - width]
-                    if not previous or self.follows(previous, piece):
+                    if self.follows(last[at - width], piece):
                         best[at], back[at], last[at] = 0.0, at - width, piece
                         break
                 else:
@@ -113,14 +111,24 @@ class Lattice:
 
     def word(self, text: str) -> list[str]:
         """The pieces of a text between two cuts."""
-        known = self.words.get(text)
-        if known is None:
-            known = self.trace(text, 0, len(text))
-            if len(text) <= 4 * self.longest:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[text] = known
-        return known
+        if not self.merged:
+            return self.trace(text, 0, len(text))
+        # ``forward`` for byte pairs from a text's start: a prefix has one path, so its last piece is enough.
+        pairs, scores, longest = self.pairs, self.scores, self.longest
+        last = [""]
+        for at in range(1, len(text) + 1):
+            for begin in range(at - 1, max(at - longest, 0) - 1, -1):
+                piece = text[begin:at]
+                if piece in scores or begin == at - 1:
+                    fits = pairs.get((last[begin], piece))
+                    if self.follows(last[begin], piece) if fits is None else fits:
+                        last.append(piece)
+                        break
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return out[::-1]
 
     def places(self, text: str, start: int, end: int) -> list[int]:
         """The cuts from ``start`` to ``end``: before a mark that doesn't follow a mark."""
@@ -133,13 +141,6 @@ class Lattice:
             at = text.find(MARK, at + 1, end)
         return out
 
-    def between(self, text: str, start: int, end: int) -> list[str]:
-        """The pieces from one cut (or the start of a text) to another (or its end)."""
-        out: list[str] = []
-        for a, b in zip([start, *(places := [p for p in self.places(text, start, end) if p > start])], [*places, end], strict=True):
-            out += self.word(text[a:b])
-        return out
-
     def states(self, text: str, border: int) -> list[tuple[int, int]]:
         """The pieces, as spans, that can lie over the character before the border."""
         return [
@@ -151,7 +152,7 @@ class Lattice:
 
     def weight(self, text: str, reached: float, before: str, state: tuple[int, int]) -> float:
         piece = text[state[0] : state[1]]
-        if reached == NEVER or (self.merged and before and not self.follows(before, piece)):
+        if reached == NEVER or (self.merged and not self.follows(before, piece)):
             return NEVER
         return reached + (0.0 if self.merged else self.scores.get(piece, self.unknown))
 
@@ -180,22 +181,21 @@ class Lattice:
         heads = [self.forward(text, b, first, text[a:b])[0][-1] for a, b in ins]
         return np.add.outer(heads, self.from_(text, last, "", outs))
 
-    def chunk(self, text: str, low: int, high: int, final: bool, enter: int, leave: int) -> list[str]:
-        """The pieces that begin in a chunk, between two states given by their number."""
+    def chunk(
+        self, text: str, low: int, high: int, final: bool, enter: int, leave: int
+    ) -> tuple[list[str], str, list[str]]:
+        """The pieces that begin in a chunk, between two states given by their number.
+
+        First those up to the first cut, then the text up to the last cut, then the pieces from there.
+        """
         a, b = (self.states(text, low) if low else [(0, 0)])[enter]
         end = [s for s in self.states(text, high) if not final or s[1] == high][leave]
         if low and (a, b) == end:
-            return []
+            return [], "", []
         cuts = self.places(text, low, high)
-        if not cuts:
-            return [*self.trace(text, b, end[0], text[a:b]), text[end[0] : end[1]]]
-        first, last = cuts[0], cuts[-1]
-        return [
-            *self.trace(text, b, first, text[a:b]),
-            *(self.between(text, first, last) if last > first else []),
-            *self.trace(text, last, end[0]),
-            text[end[0] : end[1]],
-        ]
+        first, last = (cuts[0], cuts[-1]) if cuts else (end[0], end[0])
+        tail = self.trace(text, last, end[0]) if cuts else []
+        return self.trace(text, b, first, text[a:b]), text[first:last], [*tail, text[end[0] : end[1]]]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,7 +264,8 @@ class Model:
         self.octet_of = {k: octet for octet, k in self.octets.items()}
         self.silent = {k for k in numbers if self.file.is_control(k)}
         self.lattice = Lattice({self.pieces[k]: self.file.get_score(k) for k in plain}, model_kind(self.file.serialized_model_proto()) == 2)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
         return self.file.normalize(text) if text else ""
@@ -282,22 +283,27 @@ class Model:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a normalised text that is one chunk."""
+        """The ids of a normalised text from one cut (or its start) to another (or its end)."""
         out: list[int] = []
-        words, lattice = self.words, self.lattice
-        if not lattice.cuts:
-            return self.numbers(lattice.word(text)) if text else out
+        if not self.lattice.cuts:
+            return self.numbers(self.lattice.word(text)) if text else out
+        words = self.words
         for part in WORDS.findall(text):
             known = words.get(part)
             if known is None:
-                known = self.numbers(lattice.word(part))
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                if len(part) <= 4 * lattice.longest:
+                known = self.older.pop(part, None) or tuple(self.numbers(self.lattice.word(part)))
+                if len(part) <= 4 * self.lattice.longest:
                     words[part] = known
+                    if len(words) >= REMEMBERED:
+                        self.older, self.words = words, (words := {})
             out += known
         return out
 
+    def chunk(self, *place) -> list[int]:
+        """The ids of a chunk between two states."""
+        head, middle, tail = self.lattice.chunk(*place)
+        return [*self.numbers(head), *self.encode(middle), *self.numbers(tail)]
+
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; ``first`` takes away the space that encoding puts before a text."""
         out = bytearray()
@@ -396,8 +402,7 @@ def encode_long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         own = model(path)
         for batch in batches:
             for row, part, parts, low, high, around, enter, leave in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces = own.lattice.chunk(around, low, high, part == parts - 1, enter, leave)
-                values = row, part, parts, own.numbers(pieces)
+                values = row, part, parts, own.chunk(around, low, high, part == parts - 1, enter, leave)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], f.type) for v, f in zip(values, id_fields, strict=True)], schema=id_fields
                 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, exact_dedup, html, langid, mixing, quality, simhash
+from bookpulse.llm import chat, exact_dedup, html, langid, mixing, pieces, quality, simhash, toxicity
 from bookpulse.llm.common import table
 
 
@@ -14,6 +14,13 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    keep = [F.col("doc_id"), (fold(4) == 2).alias("held_out")]
+    scored = toxicity.score(docs, labels, fold(4), (0, 1), (3,), keep)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +59,21 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_exact_dedup, op4_mixing, op5_quality, op6_simhash, op7_chat_format, op8_language_id, op9_html_extract)
+    for f in (
+        op2_toxicity,
+        op3_exact_dedup,
+        op4_mixing,
+        op5_quality,
+        op6_simhash,
+        op7_chat_format,
+        op8_language_id,
+        op9_html_extract,
+        op10_sentencepiece,
+    )
 }
