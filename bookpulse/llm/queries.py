@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, exact_dedup, html, langid, mixing, pieces, quality, simhash, toxicity
+from bookpulse.llm import chat, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, toxicity
 from bookpulse.llm.common import table
 
 
@@ -14,6 +14,10 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     keep = [F.col("doc_id"), (fold(4) == 2).alias("held_out")]
@@ -66,6 +70,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_toxicity,
         op3_exact_dedup,
         op4_mixing,
