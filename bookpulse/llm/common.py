@@ -27,6 +27,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_hand(spark: SparkSession) -> None:
+    """Lets Python workers that run on the driver's machine find this package where the driver did."""
+    seen = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in seen:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, seen)])
+
+
 def text_of(column: str = "text") -> Column:
     """A text column whose nulls are empty texts."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -54,14 +62,11 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, rows: Callable[.
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    """The Arrow form of a schema. Python workers of this machine find this package where the driver did."""
+    """The Arrow form of a schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    seen = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    root = str(Path(__file__).resolve().parents[2])
-    if root not in seen:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, seen)])
+    at_hand(spark)
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import SPACE, map_rows, text_of
+from bookpulse.llm.common import SPACE, at_hand, map_rows, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: Words that one suffix array takes, unless a single text has more.
@@ -177,6 +177,7 @@ def quality_report(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_i
 
 def good_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with all their columns."""
+    at_hand(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
