@@ -38,8 +38,20 @@ def series_name(metric: Column, labels: Column) -> Column:
     return F.when(F.size(labels) > 0, F.concat(metric, suffix)).otherwise(metric)
 
 
+def stable_id(*content: Column) -> Column:
+    """The SHA-256 of all content, as upper-case hex: the same when a task is retried.
+
+    Content is length-prefixed, so neighbouring values can't run into each other.
+    """
+    parts = [
+        F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+        for text in (c.cast("string") for c in content)
+    ]
+    return F.upper(F.sha2(F.concat_ws("|", *parts), 256))
+
+
 def short_id(*content: Column) -> Column:
-    """Twelve upper-case hex digits that stay the same when a task is retried."""
+    """Twelve upper-case hex digits for display; too few to tell rows of a large table apart."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in content])
     return F.upper(F.substring(F.sha2(joined, 256), 1, 12))
 

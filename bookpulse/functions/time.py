@@ -47,14 +47,15 @@ class Clock:
 
 
 def since(df: DataFrame, clock: Clock, ts: str = "event_ts", **span: float) -> DataFrame:
-    """Rows of the trailing window; the lower bound belongs to the window.
+    """Rows of the trailing window, both bounds included: a past moment sees nothing after it.
 
-    On tables partitioned by ``event_date`` the bound also prunes folders.
+    On tables partitioned by ``event_date`` the bounds also prune folders.
     """
-    bound = clock.ago(**span)
-    df = df.where(F.col(ts) >= bound)
+    first, last = clock.ago(**span), clock.now()
+    df = df.where((F.col(ts) >= first) & (F.col(ts) <= last))
     if "event_date" in df.columns and ts == "event_ts":
-        df = df.where(F.col("event_date") >= bound.cast("date"))
+        day = F.col("event_date")
+        df = df.where((day >= first.cast("date")) & (day <= last.cast("date")))
     return df
 
 

@@ -1,7 +1,6 @@
-"""Conversations and logged answer streams as tables.
+"""Conversations and logged answer streams as tables: a row per turn, a row per piece of an answer.
 
-A conversation is handed out in pages of a fixed number of turns, so that its length never
-decides the size of a row. Short conversations have one page.
+No row grows with the length of a conversation or an answer.
 """
 
 from __future__ import annotations
@@ -14,23 +13,12 @@ from bookpulse.schemas import SILENT_RESPONSE_EVENTS
 _PART = "array<struct<type string, text string>>"
 
 
-def _joined(order: str, text: Column) -> Column:
-    """Texts of a group concatenated in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
-    return F.array_join(F.transform(parts, lambda p: p["t"]), "")
-
-
-def conversation_history(turns: DataFrame, page_turns: int = 200) -> DataFrame:
-    """The message array (role and text content, in turn order) of each conversation page."""
-    page = F.floor(F.col("turn") / page_turns).alias("page")
+def conversation_history(turns: DataFrame) -> DataFrame:
+    """The message (role and text content, as JSON) of each turn of each conversation."""
     message = F.struct(
         "role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("turn", message.alias("m"))))
-    return turns.groupBy("conv_id", page).agg(
-        F.to_json(F.transform(ordered, lambda t: t["m"])).alias("messages"),
-        F.count("*").alias("turns"),
-    )
+    return turns.select("conv_id", "turn", F.to_json(message).alias("message"))
 
 
 def content_text(data: Column) -> Column:
@@ -63,22 +51,20 @@ def content_text(data: Column) -> Column:
     )
 
 
-def answer_text(log: DataFrame, page_events: int = 1000) -> DataFrame:
-    """Answers put together from logged events, silent event types left out.
+def answer_text(log: DataFrame) -> DataFrame:
+    """The pieces of each answer (response_id, seq, text, error), silent event types left out.
 
-    An error event ends a stream; its message is in ``error`` and stands in for the answer.
+    Pieces in order of ``seq`` make up the answer. An error event stands in for the whole answer:
+    then its message is the only piece, and of several errors the first counts.
     """
-    page = F.floor(F.col("seq") / page_events).alias("page")
     heard = log.where(~F.col("event_type").isin(SILENT_RESPONSE_EVENTS))
     message = F.try_variant_get(F.try_parse_json("data"), "$.message", "string")
-    is_error = F.col("event_type") == "error"
-    text = F.when(is_error, "").otherwise(content_text(F.col("data")))
-    return (
-        heard.withColumn("text", text)
-        .withColumn("message", F.when(is_error, message))
-        .groupBy("response_id", page)
-        .agg(
-            _joined("seq", F.col("text")).alias("answer"),
-            F.min_by("message", F.when(is_error, F.col("seq"))).alias("error"),
-        )
+    failed = heard.where(F.col("event_type") == "error")
+    first = failed.groupBy("response_id").agg(
+        F.min(F.struct("seq", F.coalesce(message, F.lit("")).alias("error"))).alias("first")
+    )
+    errors = first.select("response_id", "first.seq", F.lit("").alias("text"), "first.error")
+    pieces = heard.join(errors.select("response_id"), "response_id", "left_anti").select(
+        "response_id", "seq", content_text(F.col("data")).alias("text"), F.lit(None).cast("string").alias("error")
     )
+    return pieces.where(F.col("text") != "").unionByName(errors)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from bookpulse import schemas as S
 from bookpulse.functions.ratings import notch
-from bookpulse.functions.text import channel_of, short_id
+from bookpulse.functions.text import channel_of, stable_id
 
 # Columns each event type fills; every other type leaves them NULL.
 _OWNERS = {
@@ -26,21 +26,50 @@ _OWNERS = {
 
 
 def explode_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """One row per request of each JSON array body, with its place as ``seq``.
+    """One row per request of each JSON array body, with its place as ``seq`` and its text as ``raw``.
 
     A body that is not an array yields one row with ``seq`` NULL and no event type, which
     validation then quarantines.
     """
     is_array = F.ltrim(F.col(body)).startswith("[")
-    requests = F.from_json(F.when(is_array, F.col(body)), T.ArrayType(S.REQUEST_SCHEMA))
+    requests = F.from_json(F.when(is_array, F.col(body)), T.ArrayType(T.StringType()))
     keep = [c for c in bodies.columns if c != body]
-    return bodies.select(*keep, F.posexplode_outer(requests).alias("seq", "request")).select(
-        *keep, "seq", "request.*"
+    return (
+        bodies.select(*keep, F.posexplode_outer(requests).alias("seq", "raw"))
+        .withColumn("request", F.from_json("raw", S.REQUEST_SCHEMA))
+        .select(*keep, "seq", "request.*", "raw")
     )
 
 
+def _wrong_types() -> list[Column]:
+    """A reason for each field of the raw request whose JSON type isn't the declared one."""
+    parsed = F.try_parse_json("raw")
+    reasons = []
+    for field in S.REQUEST_SCHEMA:
+        if field.name == "payload":
+            continue
+        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field.name}", "variant"))
+        numeric = isinstance(field.dataType, T.DoubleType)
+        right = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") if numeric else kind == "STRING"
+        fits = F.coalesce(right | (kind == "VOID"), F.lit(True))  # a missing field has no kind
+        reasons.append(F.when(~fits, F.lit(f"{field.name} is not a {'number' if numeric else 'string'}")))
+    return reasons
+
+
+def _out_of_range() -> list[Column]:
+    """A reason for each number that the event column can't hold."""
+    return [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"{f.name} is out of range"))
+        for f in S.EVENT_SCHEMA
+        if isinstance(f.dataType, T.DecimalType)
+    ]
+
+
 def validate(requests: DataFrame) -> DataFrame:
-    """Add ``reasons``: what is wrong with each request, an empty array when nothing is."""
+    """Add ``reasons``: what is wrong with each request, an empty array when nothing is.
+
+    With the ``raw`` text of the request, fields of the wrong JSON type are among the reasons.
+    """
 
     def unless(ok: Column, reason: str) -> Column:
         return F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason))
@@ -52,10 +81,12 @@ def validate(requests: DataFrame) -> DataFrame:
     problems = F.array(
         unless(F.col("event_type").isNotNull(), "missing event_type"),
         unless(
-            F.col("event_type").isNull() | F.col("event_type").rlike(S.REQUEST_TYPE_PATTERN),
+            F.col("event_type").isNull() | F.col("event_type").isin(S.REQUEST_TYPES),
             "unknown event_type",
         ),
         unless(payload_ok(), "payload is not an object"),
+        *(_wrong_types() if "raw" in requests.columns else []),
+        *_out_of_range(),
     )
     return requests.withColumn("reasons", F.array_compact(problems))
 
@@ -78,8 +109,9 @@ def normalise(
     """Event rows out of accepted requests.
 
     Columns of other event types are blanked, numbers become decimals, and missing id, times
-    and source are filled. Ids hash the request (or ``id_columns``), so a retried task writes
-    the same id. A credit event without a new rating moves one notch down.
+    and source are filled. Ids hash all columns of the request (or ``id_columns``) in full, so a
+    retried task writes the same id. Requests need a column with their place in the source (file
+    and offset, or body and ``seq``): without one, two equal requests are one event. A credit event without a new rating moves one notch down.
     """
     given = set(requests.columns)
 
@@ -93,7 +125,7 @@ def normalise(
         values["to_rating"],
         F.when(F.col("event_type") == S.CREDIT_EVENT, notch(column("from_rating"), 1)),
     )
-    ident = short_id(*[F.col(c) for c in (id_columns or requests.columns)])
+    ident = stable_id(*[F.col(c) for c in (id_columns or requests.columns)])
     values |= {
         "event_id": F.coalesce(column("event_id").cast("string"), ident),
         "event_ts": F.coalesce(column("event_ts").cast("timestamp_ntz"), stamp),
@@ -105,7 +137,7 @@ def normalise(
     }
     return requests.select(
         *[
-            values[f.name].cast(f.dataType).alias(f.name)
+            values[f.name].try_cast(f.dataType).alias(f.name)
             if f.name != "payload"
             else values[f.name].alias(f.name)
             for f in S.EVENT_SCHEMA

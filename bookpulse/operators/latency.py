@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookpulse.functions.money import rounded
 from bookpulse.functions.text import event_label
 from bookpulse.operators.joins import join_groups
-from bookpulse.operators.latest import retain_newest
+from bookpulse.operators.latest import NEWEST, retain_newest
 from bookpulse.operators.ranks import upper_median, values_at_ranks
 
 STEPS = {
@@ -20,8 +20,11 @@ STEPS = {
 
 
 def _tenths(ms: Column) -> Column:
-    """Half-up tenths of the decimal value, so 30.45 gives 30.5 whatever its binary form."""
-    return rounded(ms.cast("decimal(18,6)"), 1)
+    """Half-up tenths of the decimal value, so 30.45 gives 30.5 whatever its binary form.
+
+    Values beyond the decimal's range have no such form; they are rounded as they are.
+    """
+    return F.coalesce(rounded(ms.try_cast("decimal(18,6)"), 1), F.round(ms, 1))
 
 
 def attribute(traces: DataFrame) -> DataFrame:
@@ -38,9 +41,16 @@ def bucket(ms: Column) -> Column:
     return F.when(ms < 300, "fast").when(ms < 1000, "slow").otherwise("stalled")
 
 
-def segments(traces: DataFrame, session: str, history: int = 50) -> DataFrame:
-    """Long form (event, step, ms) of each session's history, numbered oldest first."""
-    kept = retain_newest(attribute(traces), [session], history)
+def segments(traces: DataFrame, session: str, history: int | None = None) -> DataFrame:
+    """Long form (event, step, ms) of each session's events, numbered oldest first.
+
+    With ``history``, only the newest so many events of a session, as a chart shows them.
+    """
+    if history is None:
+        place = F.row_number().over(Window.partitionBy(session).orderBy(*NEWEST))
+        kept = attribute(traces).withColumn("seq", place)
+    else:
+        kept = retain_newest(attribute(traces), [session], history)
     labelled = kept.select(
         session,
         "event_id",
@@ -74,13 +84,13 @@ def summary(traces: DataFrame, keys: list[str]) -> DataFrame:
         median("visible").alias("median_visible_ms"),
         median("flush").alias("median_flush_ms"),
     )
-    clean = F.when(F.col("error").isNull(), F.col("roundtrip_ms").cast("decimal(28,6)"))
+    clean = F.when(F.col("error").isNull(), F.col("roundtrip_ms"))
     totals = traces.groupBy(*keys).agg(
         F.count("*").alias("fired"),
         F.count_if(done).alias("completed"),
         F.min(F.nullif("visible_ms", F.lit(0.0))).alias("min_visible_ms"),
         F.max(F.nullif("visible_ms", F.lit(0.0))).alias("max_visible_ms"),
-        F.round(F.sum(clean).cast("double") / F.count(clean), 2).alias("avg_roundtrip_ms"),
+        F.round(F.avg(clean), 2).alias("avg_roundtrip_ms"),
     )
     return (
         join_groups(totals, medians, keys, "left")

@@ -23,8 +23,9 @@ def one_of(column: str, allowed: list[str]) -> dict[str, Column]:
 
 
 def fits(column: str, decimal: str) -> dict[str, Column]:
-    lost = F.col(column).try_cast(decimal).isNull() & F.col(column).isNotNull()
-    return {f"precision:{column}": lost}
+    """Raw numbers that the declared decimal can't hold, or holds only with digits lost."""
+    given, held = F.col(column).cast("double"), F.col(column).try_cast(decimal).cast("double")
+    return {f"precision:{column}": given.isNotNull() & (held.isNull() | (held != given))}
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -45,18 +46,20 @@ def orphans(facts: DataFrame, dims: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dq_report(events: DataFrame, positions: DataFrame) -> DataFrame:
+def dq_report(events: DataFrame, positions: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Failures per check. Precision is checked on ``raw``, the rows as delivered, before any cast."""
     checks = {
         **not_null(["event_id", "event_ts", "event_type", "position_id"]),
         **one_of("event_type", [S.TRADE, S.MARK, S.CREDIT_EVENT, S.WARMUP]),
-        **fits("qty", "decimal(18,2)"),
-        **fits("price", "decimal(10,4)"),
-        **fits("new_mark", "decimal(10,4)"),
         "order:ingested_ts": F.col("ingested_ts") < F.col("event_ts"),
     }
     dims = not_null(["issuer", "sector", "tranche", "par_amount", "fund", "baseline_mark"])
+    kinds = {"qty": "decimal(18,2)", "price": "decimal(10,4)", "new_mark": "decimal(10,4)", "value": "decimal(4,1)"}
+    delivered = raw if raw is not None else events
+    precise = {k: v for c in delivered.columns if c in kinds for k, v in fits(c, kinds[c]).items()}
     return (
         _one_pass(events, checks)
+        .unionByName(_one_pass(delivered, precise))
         .unionByName(_one_pass(positions, dims))
         .unionByName(duplicate_keys(events, "event_id"))
         .unionByName(duplicate_keys(positions, "position_id"))

@@ -50,9 +50,14 @@ def fuzzy_search(
     )
 
 
+#: Below this share of common trigrams, a name is another name.
+LEAST_SCORE = 0.2
+
+
 def best_issuer(positions: DataFrame, term: str) -> DataFrame:
-    """One row: the issuer that matches a term best."""
-    return fuzzy_search(positions, [term], max_results=1).select("issuer")
+    """The issuer that matches a term best; none if none comes near."""
+    found = fuzzy_search(positions, [term], max_results=1)
+    return found.where(F.col("score") >= LEAST_SCORE).select("issuer")
 
 
 def positions_of(positions: DataFrame, term: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from bookpulse.functions.text import as_variant
 from bookpulse.functions.time import Clock, bin_start, since
-from bookpulse.operators.latest import retain_newest
-from bookpulse.operators.ranks import p95_or_max, upper_median
+from bookpulse.operators.joins import join_groups
+from bookpulse.operators.ranks import p95_or_max, upper_median, values_at_ranks
 
 
 def metric_points(observations: DataFrame, kind: str, metrics: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def timechart(
     in_time = Window.partitionBy(*keys).orderBy("_bin")
     placed = binned.withColumns({
         "_from": F.when(F.lag("_bin").over(in_time).isNull(), start).otherwise(F.col("_bin")),
-        "_to": F.coalesce(F.lead("_bin").over(in_time) - step, F.greatest(end, F.col("_bin"))),
+        "_to": F.coalesce(F.lead("_bin").over(in_time) - step, end),
     })
     bins = placed.withColumn("bin", F.explode(F.sequence("_from", "_to", step)))
     own = F.col("bin") == F.col("_bin")
@@ -66,55 +66,37 @@ def timechart(
 
 def average_chart(points: DataFrame, clock: Clock, hours: float = 24, step_seconds: int = 3600):
     """Average per metric and bin; NULL where a bin is empty."""
-    mean = F.sum(F.col("value").cast("decimal(28,6)")).cast("double") / F.count("value")
-    return timechart(points, clock, hours, step_seconds, ["metric"], F.round(mean, 4))
+    return timechart(points, clock, hours, step_seconds, ["metric"], F.avg("value"))
 
 
 def total_chart(points: DataFrame, clock: Clock, hours: float = 24, step_seconds: int = 3600):
     """Sum per metric and bin; zero where a bin is empty."""
-    total = F.sum(F.col("value").cast("decimal(28,6)")).cast("double")
-    chart = timechart(points, clock, hours, step_seconds, ["metric"], F.round(total, 4))
+    chart = timechart(points, clock, hours, step_seconds, ["metric"], F.sum("value"))
     return chart.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def top_issuers(points: DataFrame, n: int = 10) -> DataFrame:
-    """The n largest issuer counts, largest first."""
-    counted = points.select("issuer", F.col("value").cast("bigint").alias("count"))
+def top_issuers(points: DataFrame, clock: Clock, n: int = 10, hours: float = 24) -> DataFrame:
+    """The n largest issuer counts of the trailing range, largest first."""
+    recent = since(points, clock, ts="ts", hours=hours)
+    counted = recent.select("issuer", F.col("value").cast("bigint").alias("count"))
     return counted.orderBy(F.desc_nulls_last("count"), "issuer").limit(n)
 
 
 def metric_summary(
-    points: DataFrame,
-    clock: Clock,
-    metrics: DataFrame,
-    window_seconds: int = 300,
-    order: tuple[str, ...] = ("ts",),
-    keep: int = 1000,
+    points: DataFrame, clock: Clock, metrics: DataFrame, window_seconds: int = 300
 ) -> DataFrame:
     """Count, median, p95, mean and maximum per requested metric, zeros without points.
 
-    The store retains the newest ``keep`` points of a series, so the ranking below works on
-    groups of that size, in the partitions the retention step made.
+    All points of the window count. The ranks are found slab by slab, so a hot series is split.
     """
-    stored = retain_newest(points, ["metric"], keep, order)
-    recent = since(stored, clock, ts="ts", seconds=window_seconds)
-    series = Window.partitionBy("metric")
-    placed = recent.withColumn(
-        "place", F.row_number().over(series.orderBy("value")) - 1
-    ).withColumn("total", F.count("*").over(series))
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when(F.col("place") == rank, F.col("value")))
-
-    total = F.col("total")
-    mean = F.sum(F.col("value").cast("decimal(28,6)")).cast("double") / F.count("value")
-    summary = placed.groupBy("metric").agg(
-        F.count("*").alias("count"),
-        value_at(upper_median(total)).alias("p50"),
-        value_at(p95_or_max(total)).alias("p95"),
-        F.bround(mean, 1).alias("avg"),
+    recent = since(points, clock, ts="ts", seconds=window_seconds)
+    ranks = values_at_ranks(recent, ["metric"], "value", {"p50": upper_median, "p95": p95_or_max})
+    totals = recent.groupBy("metric").agg(
+        F.count("value").alias("count"),
+        F.bround(F.avg("value"), 1).alias("avg"),
         F.max("value").alias("max"),
     )
+    summary = join_groups(totals, ranks.drop("total"), ["metric"], "left")
     zero = F.lit(0.0)
     return (
         metrics.join(summary, "metric", "left")

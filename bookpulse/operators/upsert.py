@@ -21,9 +21,18 @@ def merge_insert_only(target: DataFrame, source: DataFrame, key: str) -> DataFra
 
 
 def merge_upsert(
-    target: DataFrame, source: DataFrame, key: str, stamp: Column, stamp_column: str = "updated"
+    target: DataFrame,
+    source: DataFrame,
+    key: str,
+    stamp: Column,
+    stamp_column: str = "updated",
+    order: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Matched keys take the source values (NULL included) and the stamp; the rest is inserted."""
+    """Matched keys take the source values (NULL included) and the stamp; the rest is inserted.
+
+    Of several source rows with one key the greatest by ``order`` counts.
+    """
+    source = one_per_key(source, key, order)
     values = [c for c in source.columns if c != key]
     incoming = source.select(
         key, *[F.col(c).alias(f"_in_{c}") for c in values], F.lit(True).alias("_hit")

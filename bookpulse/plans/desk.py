@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +119,12 @@ def watchlist_count(positions: DataFrame) -> DataFrame:
 
 
 def hourly_trades(events: DataFrame, clock: Clock, hours: float = 24) -> DataFrame:
-    """Trades per hour. The window touches at most one hour more than its length."""
+    """Trades per hour."""
     trades = since(events, clock, hours=hours).where(F.col("event_type") == S.TRADE)
     return (
         trades.groupBy(hour_of(F.col("event_ts")).alias("hour"))
         .agg(F.count("*").alias("trade_count"))
         .orderBy("hour")
-        .limit(math.ceil(hours) + 1)
     )
 
 

@@ -370,17 +370,17 @@ FROM bins LEFT JOIN (SELECT date_trunc('hour', ts) AS bin, value FROM points, cl
 GROUP BY bin
 """, _POINTS),
     "top_issuers": _q("""
-SELECT issuer, event_id AS count FROM points WHERE metric = 'credit_issuer_event_count'
+SELECT issuer, event_id AS count FROM points, clock WHERE metric = 'credit_issuer_event_count'
+  AND ts >= now - INTERVAL 24 HOUR
 ORDER BY event_id DESC, issuer LIMIT 10
 """, _POINTS),
     "metric_summary": _q("""
 , kept AS (
-  SELECT event_type AS metric, ts, value,
-    row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events
+  SELECT event_type AS metric, ts, value FROM events
 ), recent AS (
   SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i,
     count(*) OVER (PARTITION BY metric) AS n
-  FROM kept, clock WHERE r <= 1000 AND ts >= now - INTERVAL 1 DAY
+  FROM kept, clock WHERE ts >= now - INTERVAL 1 DAY
 )
 SELECT asked.metric, count(value) AS count,
   coalesce(max(value) FILTER (WHERE i = n // 2), 0) AS p50,
@@ -393,9 +393,7 @@ GROUP BY asked.metric
 """),
     "latency_segments": _q("""
 , numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY event_ts, event_id) AS seq FROM (
-    SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY event_ts DESC, event_id DESC) AS r
-    FROM trace) WHERE r <= 50
+  SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY event_ts, event_id) AS seq FROM trace
 )
 SELECT position_id, event_id, '#' || seq || ' ' || substr(event_type, 1, 6) AS event, step, ms FROM (
   SELECT *, unnest(['1 network', '2 append', '3 flush', '4 poll']) AS step,
@@ -454,15 +452,14 @@ FROM batch
         _checks("ev", {
             **_NN_EV,
             "enum:event_type": "event_type NOT IN ('TRADE', 'MARK', 'CREDIT_EVENT', 'WARMUP')",
-            "precision:qty": "qty IS NOT NULL AND try_cast(qty AS DECIMAL(18,2)) IS NULL",
-            "precision:price": "price IS NOT NULL AND try_cast(price AS DECIMAL(10,4)) IS NULL",
-            "precision:new_mark": "new_mark IS NOT NULL AND try_cast(new_mark AS DECIMAL(10,4)) IS NULL",
             "order:ingested_ts": "ingested_ts < event_ts",
             "reference:position_id": "position_id IS NOT NULL AND position_id NOT IN (SELECT position_id FROM pos)",
         })
         + " UNION ALL "
         + _checks("pos", _NN_POS)
         + """
+UNION ALL SELECT 'precision:value', count(*) FROM events
+WHERE value IS NOT NULL AND coalesce(try_cast(value AS DECIMAL(4,1))::DOUBLE <> value, true)
 UNION ALL SELECT 'unique:event_id', count(*) - count(DISTINCT event_id) FROM ev
 UNION ALL SELECT 'unique:position_id', count(*) - count(DISTINCT position_id) FROM pos
 """),
@@ -603,15 +600,18 @@ SELECT query_id, query, position_id, issuer, sector, tranche, score,
 FROM hits WHERE rank <= 10
 """,
     "conversation_history": """
-SELECT conv_id, CAST(turn // 200 AS BIGINT) AS page, count(*) AS turns,
-  '[' || string_agg('{"role":' || to_json(role) || ',"content":[{"type":"text","text":'
-    || to_json(text) || '}]}', ',' ORDER BY turn) || ']' AS messages
-FROM conversations GROUP BY 1, 2
+SELECT conv_id, turn, '{"role":' || to_json(role) || ',"content":[{"type":"text","text":'
+    || to_json(text) || '}]}' AS message
+FROM conversations
 """,
     "event_log_text": """
-SELECT conv_id AS response_id, CAST(turn // 1000 AS BIGINT) AS page,
-  string_agg(text, '' ORDER BY turn) AS answer
-FROM conversations WHERE role <> 'system' GROUP BY 1, 2
+WITH failed AS (
+  SELECT conv_id, min(turn) AS seq, min_by(role, turn) AS error FROM conversations
+  WHERE conv_id % 7 = 3 AND turn % 4 = 1 GROUP BY conv_id
+)
+SELECT conv_id AS response_id, turn AS seq, text, CAST(NULL AS VARCHAR) AS error
+FROM conversations WHERE role <> 'system' AND text <> '' AND conv_id NOT IN (SELECT conv_id FROM failed)
+UNION ALL SELECT conv_id, seq, '', error FROM failed
 """,
     "stream_ingest": _q("""
 SELECT event_id, event_ts, event_type, position_id, false AS late FROM ev WHERE event_type <> 'VIEW'

@@ -70,7 +70,7 @@ METRIC_SCHEMA = T.StructType([
 TRADE, MARK, CREDIT_EVENT = "TRADE", "MARK", "CREDIT_EVENT"
 WARMUP = "WARMUP"
 WARMUP_SOURCE = "warmup"
-REQUEST_TYPE_PATTERN = "^(TRADE|MARK|CREDIT_EVENT)$"
+REQUEST_TYPES = ["TRADE", "MARK", "CREDIT_EVENT"]
 RATING_LADDER = [
     "AAA", "AA+", "AA", "AA-", "A+", "A", "A-",
     "BBB+", "BBB", "BBB-", "BB+", "BB", "BB-",

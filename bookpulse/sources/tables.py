@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from bookpulse import schemas as S
 
-_BLOOM = {"parquet.bloom.filter.enabled#event_id": "true"}
+#: Files of events carry a bloom filter on the id, for point lookups.
+EVENT_FILES = {"parquet.bloom.filter.enabled#event_id": "true"}
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +24,7 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
         events.withColumn("event_date", F.col("event_ts").cast("date"))
         .hint("rebalance", F.col("event_date"))
         .write.mode(mode)
-        .options(**_BLOOM)
+        .options(**EVENT_FILES)
         .partitionBy("event_date")
         .parquet(path)
     )

@@ -109,8 +109,7 @@ def run_downgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = book.load_positions(spark, sf_dir)
 
-    def snapshot(events: DataFrame) -> DataFrame:
-        clock = Clock.latest(events)
+    def snapshot(events: DataFrame, clock: Clock) -> DataFrame:
         return portfolio_table(portfolio_live(events, positions, clock), clock)
 
     base = work_dir(spark, "portfolio")

@@ -23,11 +23,11 @@ def position(pid, issuer, sector, par, rating="B", watchlist=False, baseline="10
 
 POSITIONS = [
     # The first is a published worked example.
-    position("P1", "Aurora Health", "Health", "42292121.76", baseline="99.8696"),
-    position("P2", "Aurora Health", "Health", "1000000.00", watchlist=True, fund="Fund B"),
-    position("P3", "Cedar Pipeline Co", "Energy", "2000000.00", rating="NR", watchlist=True),
-    position("P4", "Cedar Industrial", "Industrials", "3000000.00"),
-    position("P5", "Cedar Mortgage", "Finance", "4000000.00"),
+    position("P1", "Mirabel Clinics", "Health", "42292121.76", baseline="99.8696"),
+    position("P2", "Mirabel Clinics", "Health", "1000000.00", watchlist=True, fund="Fund B"),
+    position("P3", "Halden Freight Lines", "Energy", "2000000.00", rating="NR", watchlist=True),
+    position("P4", "Halden Glassworks", "Industrials", "3000000.00"),
+    position("P5", "Halden Savings Bank", "Finance", "4000000.00"),
 ]
 
 

@@ -49,6 +49,36 @@ def test_validation_splits_everything(spark):
     }
 
 
+def test_wrong_types_and_ranges_are_quarantined(spark):
+    df = requests(
+        spark,
+        [{"event_type": "TRADE", "qty": "abc"}, {"event_type": "MARK", "new_mark": "x"},
+         {"event_type": "TRADE\n"}, {"event_type": "TRADE", "qty": 1e30}, {"event_type": "TRADE", "side": 5},
+         {"event_type": "TRADE", "qty": None, "price": 3}],
+    )
+    checked = ingest.validate(df)
+    assert {r.seq: r.reasons for r in ingest.quarantined(checked).collect()} == {
+        0: ["qty is not a number"], 1: ["new_mark is not a number"], 2: ["unknown event_type"],
+        3: ["qty is out of range"], 4: ["side is not a string"],
+    }
+    assert [r.seq for r in ingest.accepted(checked).collect()] == [5]
+    rows = ingest.normalise(df, F.lit(STAMP).cast("timestamp_ntz"))
+    assert rows.where("event_type = 'TRADE'").count() == 4  # nothing stops the job
+
+
+def test_ids_are_full_digests(spark):
+    one = requests(spark, [{"event_type": "TRADE"}, {"event_type": "TRADE"}])
+    rows = ingest.normalise(one, F.lit(STAMP).cast("timestamp_ntz")).select("event_id").collect()
+    assert len({r[0] for r in rows}) == 2 and all(len(r[0]) == 64 for r in rows)
+
+
+def test_upsert_takes_one_row_per_key(spark):
+    target = spark.createDataFrame([("a", "old", None)], "key string, value string, updated timestamp_ntz")
+    source = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "key string, value string")
+    got = upsert.merge_upsert(target, source, "key", F.lit(STAMP).cast("timestamp_ntz"))
+    assert sorted((r.key, r.value) for r in got.collect()) == [("a", "y"), ("b", "z")]
+
+
 def test_normalise_masks_rounds_and_fills(spark):
     df = requests(
         spark,
@@ -69,7 +99,7 @@ def test_normalise_masks_rounds_and_fills(spark):
     assert rows[0].event_ts == STAMP and rows[0].source_app == "app"
     again = ingest.normalise(df, F.lit(STAMP).cast("timestamp_ntz")).collect()
     assert [r.event_id for r in again] == [r.event_id for r in rows]
-    assert len({r.event_id for r in rows}) == 5 and all(len(r.event_id) == 12 for r in rows)
+    assert len({r.event_id for r in rows}) == 5 and all(len(r.event_id) == 64 for r in rows)
 
 
 def fold(key: str, n: int) -> int:

@@ -45,7 +45,7 @@ def test_empty_bins(spark):
 
 def test_top_issuers(spark):
     rows = [(NOW, "m", f"i{n}", float(n % 7)) for n in range(20)]
-    top = series.top_issuers(points(spark, rows), 3).collect()
+    top = series.top_issuers(points(spark, rows), CLOCK, 3).collect()
     assert [(r.issuer, r["count"]) for r in top] == [("i13", 6), ("i6", 6), ("i12", 5)]
 
 
@@ -60,11 +60,29 @@ def test_summary_ranks(spark, n):
     assert tuple(rows["none"])[1:] == (0, 0.0, 0.0, 0.0, 0.0)
 
 
-def test_summary_window_and_retention(spark):
+def test_summary_window(spark):
     df = points(spark, [(ago(seconds=400), "m", "", 9.0), (ago(seconds=300), "m", "", 1.0), (ago(seconds=1), "m", "", 2.0)])
     asked = spark.createDataFrame([("m",)], "metric string")
     assert series.metric_summary(df, CLOCK, asked).first()["count"] == 2
-    assert series.metric_summary(df, CLOCK, asked, keep=1).first()["count"] == 1
+
+
+def test_summary_of_many_points_of_one_instant(spark):
+    df = points(spark, [(ago(seconds=1), "m", "", float(i)) for i in range(5000)])
+    row = series.metric_summary(df, CLOCK, spark.createDataFrame([("m",)], "metric string")).first()
+    assert (row["count"], row.p50, row.p95, row.max, row.avg) == (5000, 2500.0, 4750.0, 4999.0, 2499.5)
+
+
+def test_small_and_large_values_are_charted(spark):
+    df = points(spark, [(ago(minutes=1), "m", "", 4e-7), (ago(minutes=2), "m", "", 4e-7), (ago(minutes=1), "n", "", 1e23)])
+    values = {r.metric: r.value for r in series.average_chart(df, CLOCK, hours=1).where("points > 0").collect()}
+    assert values == {"m": 4e-7, "n": 1e23}
+
+
+def test_a_past_moment_sees_nothing_after_it(spark):
+    df = points(spark, [(ago(minutes=5), "m", "i", 1.0), (ago(hours=-3), "m", "i", 9.0)])
+    chart = series.total_chart(df, CLOCK, hours=1).collect()
+    assert sum(r.value for r in chart) == 1.0 and max(r.bin for r in chart) <= NOW
+    assert series.top_issuers(df, CLOCK).first()["count"] == 1
 
 
 def test_series_name(spark):
@@ -107,6 +125,8 @@ def test_segments(spark):
     assert by_event["#1 TRADE"] == {"1 network": 60.0, "2 append": 0.5, "3 flush": 30.0, "4 poll": 150.0}
     assert by_event["#2 CREDIT"]["4 poll"] == 0.0
     assert by_event["#3 MARK"] == {"1 network": 90.0, "2 append": 0.0, "3 flush": 0.0, "4 poll": 0.0}
+    many = spark.range(60).join(traces(spark).where("event_id = 1").drop("event_id")).withColumnRenamed("id", "event_id")
+    assert latency.segments(many, "session").count() == 240
     kept = latency.segments(traces(spark), "session", history=1).select("event").distinct().collect()
     assert [r.event for r in kept] == ["#1 MARK"]
 

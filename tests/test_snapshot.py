@@ -77,7 +77,7 @@ def test_tape_keeps_unknown_positions_and_drops_warmup(spark):
     events, positions = frames(spark)
     rows = desk.tape(events, positions, 5).collect()
     assert [r.event_id for r in rows] == ["e15", "e14", "e13", "e11", "e02"]
-    assert rows[0].issuer is None and rows[2].issuer == "Aurora Health"
+    assert rows[0].issuer is None and rows[2].issuer == "Mirabel Clinics"
     assert rows[3].side == "" and rows[3].qty == 0
 
 
@@ -121,12 +121,12 @@ def test_hourly_and_counts(spark):
 
 def test_issuer_questions(live, spark):
     events, positions = frames(spark)
-    row = questions.issuer_exposure(live, positions, "Auror Helth").first()
-    assert row.issuer == "Aurora Health" and row.positions == 2
-    marks = questions.recent_marks_for_issuer(events, positions, CLOCK, "aurora")
+    row = questions.issuer_exposure(live, positions, "Mirabl Clinix").first()
+    assert row.issuer == "Mirabel Clinics" and row.positions == 2
+    marks = questions.recent_marks_for_issuer(events, positions, CLOCK, "mirabel")
     assert [r.event_id for r in marks.collect()] == ["e02", "e01", "e04", "e03"]
     latest = {r.issuer: r.new_mark for r in questions.latest_mark_per_issuer(events, positions).collect()}
-    assert latest["Aurora Health"] == 98.25
+    assert latest["Mirabel Clinics"] == 98.25
 
 
 def test_changed_since(spark):

@@ -9,7 +9,7 @@ from bookpulse.operators.snapshot import portfolio_live, portfolio_table, positi
 from bookpulse.plans import desk
 from bookpulse.sources import tables
 from bookpulse.streaming import streams
-from bookpulse.streaming.sinks import ChangeSink, EventSink, SnapshotSink
+from bookpulse.streaming.sinks import ChangeSink, EventSink, SnapshotSink, read_if_there
 
 
 @pytest.fixture
@@ -43,10 +43,58 @@ def test_every_event_once(spark, source, tmp_path):
     sink = EventSink(str(tmp_path / "out"))
     run(source(), sink, tmp_path / "cp")
     assert ids(sink.read(spark)) == ids(events)
-    # Restarting from the checkpoint, or without one, adds nothing.
+    # Restarting from the checkpoint, or without one, adds nothing and replaces no progress.
     run(source(), sink, tmp_path / "cp")
+    assert sink.read_progress(spark).count() == 4
     run(source(), sink, tmp_path / "cp2")
     assert ids(sink.read(spark)) == ids(events)
+    assert sink.read_progress(spark).count() == 8
+
+
+def test_rows_without_keys_are_quarantined(spark, tmp_path):
+    schema = frames(spark)[0].schema
+    nullable = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
+    bad = [tuple(event(None, "MARK", "P1", ago(minutes=1))) for _ in range(3)]
+    bad += [tuple(event("x", None, "P1", ago(minutes=1))), tuple(event("y", "MARK", "P1", None))]
+    good = tuple(event("z", "MARK", "P1", ago(minutes=1), new_mark="1.0000"))
+    sink = EventSink(str(tmp_path / "out"))
+    for batch_id in range(2):
+        sink(spark.createDataFrame([*bad, good], nullable), batch_id)
+    assert ids(sink.read(spark)) == ["z"]
+    rows = spark.read.parquet(sink.quarantine)
+    assert rows.count() == 10
+    assert {r[0] for r in rows.select(F.explode("reasons")).collect()} == {
+        "missing event_id", "missing event_type", "missing event_ts"
+    }
+
+
+def test_one_id_on_two_days_is_one_event_however_batched(spark, tmp_path):
+    schema = frames(spark)[0].schema
+    first = tuple(event("a", "MARK", "P1", ago(hours=30), new_mark="1.0000"))
+    again = tuple(event("a", "MARK", "P1", ago(hours=1), new_mark="2.0000"))
+    together, apart = EventSink(str(tmp_path / "one")), EventSink(str(tmp_path / "two"))
+    together(spark.createDataFrame([again, first], schema), 0)
+    apart(spark.createDataFrame([first], schema), 0)
+    apart(spark.createDataFrame([again], schema), 1)
+    for sink in (together, apart):
+        assert [(r.event_id, r.new_mark) for r in sink.read(spark).collect()] == [("a", Decimal("1.0000"))]
+
+
+def test_only_a_missing_table_counts_as_missing(spark, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    assert read_if_there(spark, str(tmp_path / "none"), "a int") is None
+    with pytest.raises(Exception):
+        read_if_there(spark, str(tmp_path / "broken"), "a int").collect()
+
+
+def test_changes_are_compacted(spark, tmp_path):
+    sink = ChangeSink(str(tmp_path / "changes"), ["k"], compact=3)
+    for batch_id in range(8):
+        sink(spark.createDataFrame([(batch_id % 2, batch_id), (9, batch_id)], "k int, v int"), batch_id)
+    assert sorted(map(tuple, sink.read(spark).collect())) == [(0, 6), (1, 7), (9, 7)]
+    # Bases hold what came before; a reader needs no older change.
+    assert {r.upto for r in spark.read.parquet(f"{sink.path}/base").select("upto").distinct().collect()} == {2, 5}
 
 
 def test_a_batch_may_run_twice(spark, tmp_path):
@@ -123,19 +171,19 @@ def test_enriched_stream_equals_batch(spark, source, tmp_path):
 def test_snapshot_refresh_and_expiry(spark, source, tmp_path):
     events, positions = frames(spark)
 
-    def at(clock):
-        return lambda stored: portfolio_table(portfolio_live(stored, positions, clock), clock)
+    def snapshot(stored, clock):
+        return portfolio_table(portfolio_live(stored, positions, clock), clock)
 
     store = EventSink(str(tmp_path / "out"))
-    sink = SnapshotSink(str(tmp_path / "portfolio"), store, at(CLOCK))
+    sink = SnapshotSink(str(tmp_path / "portfolio"), store, lambda stored, _: snapshot(stored, CLOCK))
     run(source(), sink, tmp_path / "cp")
     expected = portfolio_table(portfolio_live(events, positions, CLOCK), CLOCK)
     assert sorted(map(tuple, sink.read(spark).select(expected.columns).collect())) == sorted(
         map(tuple, expected.collect())
     )
     # No new event, a later clock: marks fall back to the baseline.
-    later = SnapshotSink(sink.path, store, at(type(CLOCK).fixed(ago(hours=-25))))
-    later.refresh(spark, 1000)
+    later = SnapshotSink(sink.path, store, snapshot)
+    later.refresh(spark, "later", type(CLOCK).fixed(ago(hours=-25)))
     assert {r.latest_mark for r in later.read(spark).where("position_id = 'P2'").collect()} == {Decimal("100.0000")}
 
 
