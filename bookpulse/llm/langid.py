@@ -71,6 +71,31 @@ def ranked(text: str, most: int) -> np.ndarray:
     return found[np.lexsort((found, -count))][:most]
 
 
+class Tally:
+    """Counts of sequences in bounded memory: what has come in is summed up whenever it is much."""
+
+    MUCH = 2_000_000
+
+    def __init__(self) -> None:
+        self.found, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, ordered: np.ndarray) -> None:
+        self.parts.append(ordered)
+        self.size += len(ordered)
+        if self.size >= self.MUCH:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.size:
+            found, count = counted(np.sort(np.concatenate(self.parts)))
+            both, at = np.unique(np.concatenate((self.found, found)), return_inverse=True)
+            self.count = np.bincount(at, np.concatenate((self.count, count)), len(both)).astype(np.int64)
+            self.found, self.parts, self.size = both, [], 0
+        return self.found, self.count
+
+
 def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """The profile of each language in rows of (lang, text)."""
     schema = "lang string, sequence long, n long"
@@ -78,11 +103,11 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
+            by_lang: dict[str, Tally] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_lang.setdefault(lang, []).append(sequences(text))
-            for lang, parts in by_lang.items():
-                found, count = counted(np.sort(np.concatenate(parts)))
+                by_lang.setdefault(lang, Tally()).add(sequences(text))
+            for lang, tally in by_lang.items():
+                found, count = tally.total()
                 if len(found):
                     columns = [pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(count, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, schema=fields)
