@@ -34,6 +34,7 @@ CLOSES_PARAGRAPH = BLOCKS - {"br", "button", "option"}
 SILENT = frozenset("script style noscript template title head textarea svg math iframe object canvas".split())
 ASIDE = frozenset("nav footer aside form menu dialog button select search".split())
 REGIONS = frozenset(("article", "main"))
+HOLDERS = frozenset("html body div main article section center table td".split())
 # Words in class, id and role that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adv advert advertisement advertisements advertising banner breadcrumb breadcrumbs comment "
@@ -70,7 +71,7 @@ class Events(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text and not self.other:
             region = next((n for name, n, _ in reversed(self.stack) if name in REGIONS), -1)
-            path = tuple(n for name, n, _ in self.stack if name in BLOCKS)
+            path = tuple(n for name, n, _ in self.stack if name in HOLDERS)
             self.lines.append(Line(text, self.tags, path, region))
         if text or self.parts:
             self.tags = 0
