@@ -261,6 +261,7 @@ def forests(members: DataFrame, limit: int, check_limit: int) -> DataFrame:
             last = batch is None
             if not last:
                 columns = [c.to_numpy() for c in batch.columns]
+                columns[3:] = [c.view(np.uint64) for c in columns[3:]]  # bits of a negative number count as they are
                 held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             if held is None or not len(held[0]):
                 continue
