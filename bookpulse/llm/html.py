@@ -65,7 +65,7 @@ class Events(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.number = 0
-        self.silent = self.other = 0
+        self.silent = self.other = self.regions = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -80,15 +80,14 @@ class Events(HTMLParser):
     def is_other(self, name: str, attributes: list[tuple[str, str | None]]) -> bool:
         if name in ASIDE:
             return True
-        inside = any(open_name in REGIONS for open_name, _, _ in self.stack)
         if name == "header":
-            return not inside
+            return not self.regions
         if name in REGIONS or name in ("html", "body"):
             return False
         said = " ".join(value for key, value in attributes if key in ("class", "id", "role") and value)
         for token in said.split():
             words = {word.lower() for word in re.findall("[A-Z]?[a-z]+|[A-Z]+", token)}
-            if words & MARKS and not words & ABOUT or "header" in words and not inside:
+            if words & MARKS and not words & ABOUT or "header" in words and not self.regions:
                 return True
         return False
 
@@ -96,6 +95,7 @@ class Events(HTMLParser):
         name, _, other = self.stack.pop()
         self.other -= other
         self.silent -= name in SILENT
+        self.regions -= name in REGIONS
 
     def close(self) -> None:
         super().close()
@@ -115,6 +115,7 @@ class Events(HTMLParser):
             self.stack.append((tag, self.number, other))
             self.other += other
             self.silent += tag in SILENT
+            self.regions += tag in REGIONS
 
     def imply_end(self, tag: str) -> None:
         """Closes an open ``tag`` unless another block holds it open."""
