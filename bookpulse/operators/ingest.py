@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from bookpulse import schemas as S
 from bookpulse.functions.ratings import notch
-from bookpulse.functions.text import channel_of, stable_id
+from bookpulse.functions.text import channel_of, is_recoverable, stable_id
 
 # Columns each event type fills; every other type leaves them NULL.
 _OWNERS = {
@@ -176,6 +176,12 @@ def channel_counts(rows: DataFrame, channels: int = 4, key: str = "position_id")
     )
 
 
+def error_counts(errors: DataFrame) -> DataFrame:
+    """Errors and the newest of them, by whether a retry may help."""
+    kind = is_recoverable(F.col("error")).alias("recoverable")
+    return errors.groupBy(kind).agg(F.count("*").alias("errors"), F.max("ts").alias("last_ts"))
+
+
 def error_status(errors: DataFrame, last: int = 10) -> DataFrame:
     """The newest errors, each with the total number logged."""
     total = errors.agg(F.count("*")).scalar()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookpulse.operators.joins import join_groups
+
 NEWEST = ("event_ts", "event_id")
 
 
@@ -29,11 +31,19 @@ def latest_by(
 def retain_newest(
     df: DataFrame, keys: list[str], n: int, order: tuple[str, ...] = NEWEST
 ) -> DataFrame:
-    """The newest n rows of every series, numbered oldest first in ``seq``.
+    """The newest n rows of every series, numbered oldest first in ``seq``; order starts with a time.
 
-    Catalyst turns the rank filter into a group limit on both sides of the exchange: a task
-    ships at most n rows per series.
+    Rows are counted per series and day first, which tells the day on which a series' last n rows
+    begin. Only rows from that day on are ranked, so the task of a hot series gets no more than n
+    rows from each of the tasks that read those days: Catalyst turns the rank filter into a group
+    limit before the exchange.
     """
+    day = F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date"))
+    per_day = df.groupBy(*keys, day.alias("_day")).agg(F.count("*").alias("_rows"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = per_day.withColumn("_later", F.coalesce(F.sum("_rows").over(later), F.lit(0))).where(F.col("_later") < n)
+    first_day = needed.groupBy(*keys).agg(F.min("_day").alias("_first_day"))
+    df = join_groups(df, first_day, keys).where(day >= F.col("_first_day")).drop("_first_day")
     newest_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     oldest_first = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= n)

@@ -50,6 +50,51 @@ def fuzzy_search(
     )
 
 
+def search_table(
+    catalog: DataFrame,
+    queries: DataFrame,
+    on: str = "issuer",
+    key: str = "position_id",
+    query_key: str = "query_id",
+    query: str = "query",
+    attributes: tuple[str, ...] = (),
+    least: float = 0.3,
+    max_results: int = 10,
+) -> DataFrame:
+    """Best matches for each row of a table of queries, of similarity ``least`` or more.
+
+    Names and queries meet on trigrams, but only on the rarest of each: two sets with a Jaccard
+    similarity of ``least`` share a trigram among the first ``size - ceil(least * size) + 1`` of both
+    in the order of frequency. So common trigrams are never joined on, and no match is lost.
+    """
+    names = catalog.select(key, on, *attributes, trigrams(F.col(on)).alias("_grams"))
+    asked = queries.select(
+        query_key, query, plain(F.col(query)).alias("_text"), trigrams(F.col(query)).alias("_asked")
+    )
+    counts = names.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, ident: str, grams: str) -> DataFrame:
+        each = rows.select(ident, F.size(grams).alias("size"), F.explode(grams).alias("gram")).join(counts, "gram", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+        # The small term keeps a product like 0.3 * 10 from being rounded up.
+        wanted = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
+        first = each.groupBy(ident, "size").agg(ordered.alias("all")).select(ident, F.slice("all", F.lit(1), wanted).alias("some"))
+        return first.select(ident, F.explode("some.gram").alias("gram"))
+
+    pairs = rarest(asked, query_key, "_asked").join(rarest(names, key, "_grams"), "gram").select(query_key, key).distinct()
+    scored = (
+        pairs.join(asked, query_key).join(names, key)
+        .select(
+            query_key, query, key, on, *attributes,
+            jaccard(F.col("_grams"), F.col("_asked")).alias("score"),
+            F.levenshtein(plain(F.col(on)), F.col("_text")).alias("distance"),
+        )
+        .where(F.col("score") >= least)
+    )
+    best_first = Window.partitionBy(query_key).orderBy(F.desc("score"), "distance", key)
+    return scored.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= max_results)
+
+
 #: Below this share of common trigrams, a name is another name.
 LEAST_SCORE = 0.2
 

@@ -10,8 +10,8 @@ from bookpulse.functions import money
 from bookpulse.functions.time import Clock, since
 
 _STATE = {
-    "mark": (S.MARK, ["new_mark"]),
-    "rating": (S.CREDIT_EVENT, ["to_rating"]),
+    "mark": (S.MARK, ["event_ts", "new_mark"]),
+    "rating": (S.CREDIT_EVENT, ["event_ts", "to_rating"]),
     "trade": (S.TRADE, ["event_ts", "side", "qty", "price", "counterparty"]),
 }
 

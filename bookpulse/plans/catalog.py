@@ -14,7 +14,7 @@ from bookpulse.operators import chat, ingest, latency, profile, quality, search,
 from bookpulse.operators.latest import latest_by, pick_random, retain_newest
 from bookpulse.operators.snapshot import portfolio_live, portfolio_table, portfolio_view
 from bookpulse.plans import desk, questions
-from bookpulse.plans.model import BOOK, query_model
+from bookpulse.plans.model import BOOK, Between, query_model
 from bookpulse.sources import book, tables
 from bookpulse.streaming import jobs
 
@@ -117,28 +117,12 @@ class Book:
             F.col("event_id").alias("error_id"), "ts", message.alias("error")
         )
 
+    def newest(self, n: int, condition: str) -> DataFrame:
+        return book.newest_events(self.spark, self.sf_dir, n, condition)
+
     @cached_property
     def bodies(self) -> DataFrame:
-        """A batch body per event: its own request and a credit event; views send a bare object."""
-        own = F.struct(
-            F.col("event_type"),
-            F.col("position_id").cast("string").alias("position_id"),
-            "side",
-            F.col("qty").cast("double").alias("qty"),
-            F.col("price").cast("double").alias("price"),
-            F.col("new_mark").cast("double").alias("new_mark"),
-            "from_rating",
-        )
-        extra = F.struct(
-            F.lit(S.CREDIT_EVENT).alias("event_type"),
-            F.col("position_id").cast("string").alias("position_id"),
-            F.lit("BB").alias("from_rating"),
-        )
-        array = F.concat(
-            F.lit("["), F.to_json(own), F.lit(","), F.to_json(extra), F.lit("]")
-        )
-        body = F.when(F.col("event_type") == "VIEW", F.to_json(own)).otherwise(array)
-        return self.events.select("event_id", "event_ts", body.alias("body"))
+        return book.bodies_of(self.events)
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -370,6 +354,16 @@ def _fuzzy_search(b: Book) -> DataFrame:
     )
 
 
+def _fuzzy_search_table(b: Book) -> DataFrame:
+    """The names of every hundredth part against those of all parts."""
+    parts = b.table("part")
+    catalog = parts.select(F.col("p_partkey").alias("position_id"), F.col("p_name").alias("issuer"))
+    queries = parts.where("p_partkey % 100 = 0").select(
+        F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")
+    )
+    return search.search_table(catalog, queries)
+
+
 def _metric_summary(b: Book) -> DataFrame:
     asked = [("purchase",), ("click",), ("error",), ("signup",), ("view",), ("missing",)]
     metrics = tables.literal_rows(b.spark, asked, "metric string")
@@ -381,6 +375,8 @@ def _four_places(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 4))
 
 
+#: Conditions on raw rows that leave out warm-up, or keep trades.
+NOT_SIGNUP, IS_TRADE = "event_type IS DISTINCT FROM 'signup'", "event_type = 'purchase'"
 PROFILED = ["event_type", "side", "counterparty", "mark_source", "from_rating", "agency", "source_app"]
 
 QUERIES = {
@@ -391,9 +387,9 @@ QUERIES = {
     "latest_rating": lambda b: _latest(b, S.CREDIT_EVENT, ["to_rating"]),
     "latest_trade": lambda b: _latest(b, S.TRADE, ["side", "qty", "price", "counterparty"]),
     # Dashboard
-    "tape": lambda b: _plain_numbers(desk.tape(b.events, b.positions)),
+    "tape": lambda b: _plain_numbers(desk.tape(b.newest(30, NOT_SIGNUP), b.positions)),
     "tape_display": lambda b: _plain_numbers(
-        tables.keep_existing(desk.tape(b.events, b.positions), desk.TAPE_DISPLAY)
+        tables.keep_existing(desk.tape(b.newest(30, NOT_SIGNUP), b.positions), desk.TAPE_DISPLAY)
     ),
     "pnl_today": lambda b: desk.pnl_today(b.live),
     "sector_exposure": lambda b: desk.sector_exposure(b.positions),
@@ -412,8 +408,8 @@ QUERIES = {
     "top_sectors_by_par": lambda b: questions.top_sectors_by_par(b.positions),
     "top_five_marks": lambda b: desk.top_marks(b.live, 5),
     "fund_exposure": lambda b: desk.exposure(b.positions, "fund"),
-    "latest_trades": lambda b: questions.latest_trades(b.events, b.positions),
-    "most_recent_trade": lambda b: questions.latest_trades(b.events, b.positions, 1),
+    "latest_trades": lambda b: questions.latest_trades(b.newest(10, IS_TRADE), b.positions),
+    "most_recent_trade": lambda b: questions.latest_trades(b.newest(1, IS_TRADE), b.positions, 1),
     "downgrades": lambda b: questions.downgrades(b.events, b.positions),
     "watchlist_downgrades": lambda b: questions.watchlist_downgrades(b.events, b.positions),
     "issuer_exposure": lambda b: questions.issuer_exposure(
@@ -443,6 +439,7 @@ QUERIES = {
     "batch_end_offsets": lambda b: ingest.end_offsets(b.events),
     "partition_counts": lambda b: ingest.channel_counts(b.events),
     "error_classify": _error_classify,
+    "error_counts": lambda b: ingest.error_counts(b.errors),
     "error_status": lambda b: ingest.error_status(b.errors),
     "event_lookup": lambda b: tables.find_event(b.events, 777).select("event_id", "event_ts", "event_type"),
     "seed_values": _seed_values,
@@ -467,12 +464,19 @@ QUERIES = {
     "column_profile": lambda b: profile.sample_values(b.events, PROFILED),
     "column_summary": lambda b: profile.column_summary(b.events, PROFILED),
     "fuzzy_search": _fuzzy_search,
+    "fuzzy_search_table": _fuzzy_search_table,
+    "model_recent_by_type": lambda b: b.model(
+        ["event_type"], ["events"], where={"event_ts": Between(b.clock.ago(hours=24), b.clock.now())}
+    ),
     "conversation_history": lambda b: chat.conversation_history(b.table("conversations")),
     "event_log_text": lambda b: chat.answer_text(b.answer_log),
     # Streams
     "stream_ingest": lambda b: jobs.run_ingest(b.spark, b.sf_dir),
+    "stream_requests": lambda b: jobs.run_requests(b.spark, b.sf_dir),
+    "stream_quarantine": lambda b: jobs.run_quarantine(b.spark, b.sf_dir),
     "stream_dedupe": lambda b: jobs.run_dedupe(b.spark, b.sf_dir),
     "stream_latest_state": lambda b: jobs.run_latest_state(b.spark, b.sf_dir),
+    "stream_live_state": lambda b: jobs.run_live_state(b.spark, b.sf_dir),
     "stream_hourly_trades": lambda b: jobs.run_hourly_trades(b.spark, b.sf_dir),
     "stream_throughput": lambda b: jobs.run_throughput(b.spark, b.sf_dir),
     "stream_latency": lambda b: jobs.run_latency(b.spark, b.sf_dir),

@@ -62,18 +62,39 @@ class Model:
         return spark.createDataFrame(rows, "kind string, name string, table string, comment string")
 
 
+@dataclass(frozen=True)
+class Between:
+    """A range condition on a dimension; both ends belong to it, None leaves an end open."""
+
+    low: object = None
+    high: object = None
+
+
+def _meets(column: Column, condition: list | Between) -> Column:
+    if not isinstance(condition, Between):
+        return column.isin(condition)
+    test = column.isNotNull()
+    if condition.low is not None:
+        test &= column >= condition.low
+    if condition.high is not None:
+        test &= column <= condition.high
+    return test
+
+
 def query_model(
     model: Model,
     tables: dict[str, DataFrame],
     dims: list[str],
     measures: list[str],
-    where: dict[str, list] | None = None,
+    where: dict[str, list | Between] | None = None,
     order: list[Column] | None = None,
     limit: int | None = None,
+    check_keys: bool = False,
 ) -> DataFrame:
     """Group the measures by the dimensions.
 
-    ``where`` lists allowed values per dimension. Facts are aggregated by foreign key before they
+    ``where`` lists allowed values per dimension, or gives a range. With ``check_keys`` the declared
+    relationships are checked first, and a repeated key raises instead of counting facts twice. Facts are aggregated by foreign key before they
     meet the dimension table, so the join handles one row per key whatever the skew of the fact.
     """
     chosen = {name: model.measures[name] for name in measures}
@@ -88,15 +109,19 @@ def query_model(
     if far - set(links):
         raise ValueError(f"no many-to-one path from {base} to {sorted(far - set(links))}")
 
+    for t in far if check_keys else ():
+        if not check_relationship(links[t], tables).isEmpty():
+            raise ValueError(f"{links[t].key} is not unique in {t}")
+
     rows = tables[base]
     if base in model.default_filters:
         rows = rows.where(model.default_filters[base])
     near = {n: d for n, d in named.items() if d.table == base}
     for n in near.keys() & where.keys():
-        rows = rows.where(F.col(near[n].column).isin(where[n]))
+        rows = rows.where(_meets(F.col(near[n].column), where[n]))
     keys = {f"_key_{links[t].key}": F.col(links[t].key) for t in far}
     grouped = rows.groupBy(
-        *[F.col(d.column).alias(n) for n, d in near.items()],
+        *[F.col(d.column).alias(n) for n, d in near.items() if n in dims],
         *[column.alias(alias) for alias, column in keys.items()],
     ).agg(*[m.partial().alias(f"_part_{n}") for n, m in chosen.items()])
     for t in far:
@@ -105,7 +130,7 @@ def query_model(
         side = tables[t].select(F.col(key).alias(f"_key_{key}"), *wanted)
         grouped = grouped.join(side, f"_key_{key}", "left")
     for n in where.keys() - near.keys():
-        grouped = grouped.where(F.col(n).isin(where[n]))
+        grouped = grouped.where(_meets(F.col(n), where[n]))
     result = grouped.groupBy(*dims).agg(*[m.final(f"_part_{n}").alias(n) for n, m in chosen.items()])
     if order:
         result = result.orderBy(*order)

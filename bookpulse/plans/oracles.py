@@ -481,6 +481,10 @@ FROM (SELECT *, CASE k % 5 WHEN 0 THEN 'Token has EXPIRED for channel'
     WHEN 1 THEN 'channel in Invalid State' WHEN 2 THEN 'InvalidChannelError: closed'
     WHEN 3 THEN '401 Unauthorized' ELSE 'connection reset by peer' END AS error
   FROM raw WHERE event_type = 'error')
+"""),
+    "error_counts": _q("""
+SELECT k % 5 <> 4 AS recoverable, count(*) AS errors, max(ts) AS last_ts
+FROM raw WHERE event_type = 'error' GROUP BY 1
 """),
     "error_status": _q("""
 SELECT event_id AS error_id, ts, CASE k % 5 WHEN 0 THEN 'Token has EXPIRED for channel'
@@ -599,6 +603,23 @@ SELECT query_id, query, position_id, issuer, sector, tranche, score,
   CAST(distance AS INTEGER) AS distance, CAST(rank AS INTEGER) AS rank
 FROM hits WHERE rank <= 10
 """,
+    "fuzzy_search_table": f"""
+WITH names AS (
+  SELECT p_partkey AS position_id, p_name AS issuer, plain, {_GRAMS.format('plain')} AS grams
+  FROM (SELECT *, {_NORM.format('p_name')} AS plain FROM part)
+), scored AS (
+  SELECT q.position_id AS query_id, q.issuer AS query, n.position_id, n.issuer,
+    len(list_intersect(n.grams, q.grams)) * 1.0::DOUBLE
+      / len(list_distinct(list_concat(n.grams, q.grams))) AS score,
+    CAST(levenshtein(n.plain, q.plain) AS INTEGER) AS distance
+  FROM names n, names q WHERE q.position_id % 100 = 0
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, position_id) AS INTEGER) AS rank
+FROM scored WHERE score >= 0.3 QUALIFY rank <= 10
+""",
+    "model_recent_by_type": _q("""
+SELECT event_type, count(*) AS events FROM day WHERE event_type <> 'WARMUP' GROUP BY event_type
+"""),
     "conversation_history": """
 SELECT conv_id, turn, '{"role":' || to_json(role) || ',"content":[{"type":"text","text":'
     || to_json(text) || '}]}' AS message
@@ -615,6 +636,24 @@ UNION ALL SELECT conv_id, seq, '', error FROM failed
 """,
     "stream_ingest": _q("""
 SELECT event_id, event_ts, event_type, position_id, false AS late FROM ev WHERE event_type <> 'VIEW'
+"""),
+    "stream_requests": _q(
+        "SELECT event_id, event_ts, event_type, position_id, side, qty, to_rating FROM (" + _NORMAL + ")", _REQUESTS
+    ),
+    "stream_quarantine": _q("""
+SELECT body_id, 'missing event_type' AS reasons FROM batch WHERE event_type IS NULL
+UNION ALL SELECT body_id, 'unknown event_type' FROM batch
+WHERE event_type NOT IN ('TRADE', 'MARK', 'CREDIT_EVENT')
+""", _REQUESTS),
+    "stream_latency": _q("""
+SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS window_start, count(*) AS event_count,
+  quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms, quantile_disc(ms, 0.99) AS p99_ms
+FROM (SELECT event_ts, epoch_ms(ingested_ts) - epoch_ms(event_ts) AS ms FROM ev) GROUP BY 1
+"""),
+    "ingest_latency_approx": _q("""
+SELECT count(*) AS event_count, quantile_disc(ms, 0.5)::DOUBLE AS p50_ms,
+  quantile_disc(ms, 0.95)::DOUBLE AS p95_ms, quantile_disc(ms, 0.99)::DOUBLE AS p99_ms
+FROM (SELECT epoch_ms(ingested_ts) - epoch_ms(event_ts) AS ms FROM day)
 """),
     "stream_dedupe": _q("""
 SELECT event_type, count(*) AS rows, min(event_id) AS first_id, max(event_id) AS last_id
@@ -632,6 +671,18 @@ SELECT position_id,
   max(side) FILTER (WHERE r = 1 AND event_type = 'TRADE') AS side,
   count(*) AS events, max(event_ts) AS latest_event_ts
 FROM newest GROUP BY position_id
+"""),
+    "stream_live_state": _q("""
+, newest AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY position_id, event_type ORDER BY event_ts DESC, event_id DESC) AS r
+  FROM day WHERE position_id IS NOT NULL
+)
+SELECT position_id,
+  CAST(max(new_mark) FILTER (WHERE r = 1 AND event_type = 'MARK') AS DOUBLE) AS new_mark,
+  max(to_rating) FILTER (WHERE r = 1 AND event_type = 'CREDIT_EVENT') AS to_rating,
+  max(side) FILTER (WHERE r = 1 AND event_type = 'TRADE') AS side, max(event_ts) AS latest_event_ts
+FROM newest GROUP BY position_id
 """),
     "stream_hourly_trades": _q("""
 SELECT date_trunc('hour', event_ts) AS hour, count(*) AS trade_count

@@ -8,6 +8,7 @@ Schemas are declared: opening a table reads no footer.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bookpulse import schemas as S
 
@@ -80,6 +81,38 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_book_events(table(spark, sf_dir, "events"))
 
 
+def newest_events(spark: SparkSession, sf_dir: str, n: int, condition: str) -> DataFrame:
+    """The n newest events whose raw row meets a condition; only those are parsed and mapped."""
+    newest = table(spark, sf_dir, "events").where(condition).orderBy(
+        F.desc_nulls_last("ts"), F.desc("event_id")
+    )
+    return as_book_events(newest.limit(n))
+
+
+def bodies_of(events: DataFrame) -> DataFrame:
+    """A batch body per event: its own request and a credit event; views send a bare object.
+
+    Works on batches and streams.
+    """
+    own = F.struct(
+        F.col("event_type"),
+        F.col("position_id").cast("string").alias("position_id"),
+        "side",
+        F.col("qty").cast("double").alias("qty"),
+        F.col("price").cast("double").alias("price"),
+        F.col("new_mark").cast("double").alias("new_mark"),
+        "from_rating",
+    )
+    extra = F.struct(
+        F.lit(S.CREDIT_EVENT).alias("event_type"),
+        F.col("position_id").cast("string").alias("position_id"),
+        F.lit("BB").alias("from_rating"),
+    )
+    array = F.concat(F.lit("["), F.to_json(own), F.lit(","), F.to_json(extra), F.lit("]"))
+    body = F.when(F.col("event_type") == "VIEW", F.to_json(own)).otherwise(array)
+    return events.select("event_id", "event_ts", body.alias("body"))
+
+
 def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
     raw = (
         spark.readStream.schema(TABLE_SCHEMAS["events"])

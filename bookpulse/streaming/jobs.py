@@ -11,7 +11,7 @@ from bookpulse.plans import desk, questions
 from bookpulse.session import work_dir
 from bookpulse.sources import book
 from bookpulse.streaming import streams
-from bookpulse.streaming.sinks import ChangeSink, EventSink, SnapshotSink
+from bookpulse.streaming.sinks import ChangeSink, EventSink, RequestSink, SnapshotSink
 
 
 def _finish(query) -> None:
@@ -30,6 +30,28 @@ def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.read(spark).select("event_id", "event_ts", "event_type", "position_id", "late")
 
 
+def _requested(spark: SparkSession, sf_dir: str, name: str) -> RequestSink:
+    """All request bodies through one stream."""
+    base = work_dir(spark, name)
+    sink = RequestSink(base)
+    bodies = book.bodies_of(book.stream_events(spark, sf_dir)).withColumnRenamed("event_id", "body_id")
+    _finish(streams.start(bodies, sink, f"{base}/checkpoint"))
+    return sink
+
+
+def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _requested(spark, sf_dir, "requests").events.read(spark)
+    return stored.select(
+        "event_id", "event_ts", "event_type", "position_id", "side",
+        F.col("qty").cast("double").alias("qty"), "to_rating",
+    )
+
+
+def run_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = spark.read.parquet(_requested(spark, sf_dir, "quarantine").rejected)
+    return rejected.select("body_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
 def run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event delivered twice."""
     once, again = book.stream_events(spark, sf_dir), book.stream_events(spark, sf_dir)
@@ -68,6 +90,19 @@ def run_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = streams.latest_state(book.stream_events(spark, sf_dir))
+    state = _changes(spark, stream, "live-state", ["position_id"])
+    live = streams.live_state(state, Clock.latest(book.table(spark, sf_dir, "events"), "ts"))
+    return live.select(
+        "position_id",
+        F.col("mark.new_mark").cast("double").alias("new_mark"),
+        F.col("rating.to_rating").alias("to_rating"),
+        F.col("trade.side").alias("side"),
+        "latest_event_ts",
+    )
+
+
 def run_hourly_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.hourly_trades(book.stream_events(spark, sf_dir))
     return _changes(spark, stream, "hourly-trades", ["hour"])

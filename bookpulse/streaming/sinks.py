@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from bookpulse import schemas as S
 from bookpulse.functions.time import Clock
+from bookpulse.operators import ingest
 from bookpulse.operators.latest import latest_by
 from bookpulse.sources.tables import EVENT_FILES
 
@@ -167,6 +168,30 @@ class EventSink:
         ).write.mode("overwrite").parquet(f"{self.progress}/batch={key}")
 
 
+class RequestSink:
+    """Request bodies to events: explode, validate, normalise, append once.
+
+    Bodies need a column with their place in the source (``body_id``); with ``seq`` it makes the
+    event id, so a body delivered again adds nothing. Requests that fail validation go to a
+    folder of their own with their reasons.
+    """
+
+    def __init__(self, path: str, stamp: str = "event_ts"):
+        self.events = EventSink(path)
+        self.rejected = f"{path}/rejected"
+        self.stamp = stamp
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        checked = ingest.validate(ingest.explode_batches(batch)).persist()
+        try:
+            bad = ingest.quarantined(checked)
+            bad.write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_key(batch, batch_id)}")
+            good = ingest.accepted(checked).withColumn("event_id", F.concat_ws("-", "body_id", "seq"))
+            self.events(ingest.normalise(good, F.col(self.stamp)), batch_id)
+        finally:
+            checked.unpersist()
+
+
 class ChangeSink:
     """Keeps the changed rows of every batch of an aggregation in update mode.
 

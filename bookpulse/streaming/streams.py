@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from bookpulse import schemas as S
-from bookpulse.functions.time import hour_of, millis_between
+from bookpulse.functions.time import Clock, hour_of, millis_between
 from bookpulse.operators.snapshot import state_aggregates
 
 
@@ -52,6 +53,16 @@ def latest_state(events: DataFrame) -> DataFrame:
     )
 
 
+def live_state(state: DataFrame, clock: Clock, hours: float = 24) -> DataFrame:
+    """The state as of a moment: what is older than the window has expired, as in the snapshot.
+
+    Expiry happens when the state is read, so it needs no event to come. ``n`` counts all events.
+    """
+    bound = clock.ago(hours=hours)
+    fresh = {k: F.when(F.col(f"{k}.event_ts") >= bound, F.col(k)) for k in ("mark", "rating", "trade")}
+    return state.where(F.col("latest_event_ts") >= bound).withColumns(fresh)
+
+
 def hourly_trades(events: DataFrame) -> DataFrame:
     """Trades per hour. One small row of state per hour needs no watermark, so no row is late."""
     trades = events.where(F.col("event_type") == S.TRADE)
@@ -98,20 +109,56 @@ def latency(events: DataFrame, length: str = "5 minutes", watermark: str = "1 da
     )
 
 
+POINTS = "at string, metric string, labels map<string,string>, value double"
+
+
+def points_of(progress, name: str) -> list[tuple]:
+    """A progress update as metric points; the sum of durations tells where a batch's time went."""
+    values = {
+        "input_rows": progress.numInputRows,
+        "rows_per_second": progress.processedRowsPerSecond,
+        "batch_ms": progress.batchDuration,
+        "state_rows": sum(s.numRowsTotal for s in progress.stateOperators),
+        "dropped_late_rows": sum(s.numRowsDroppedByWatermark for s in progress.stateOperators),
+    }
+    return [(progress.timestamp, metric, {"query": name}, float(value)) for metric, value in values.items()]
+
+
+def typed_points(points: DataFrame) -> DataFrame:
+    return points.select(F.to_timestamp("at").cast("timestamp_ntz").alias("ts"), "metric", "labels", "value")
+
+
 def health_points(query: StreamingQuery, name: str, spark: SparkSession) -> DataFrame:
-    """Recent progress of a query as metric points, ready for the time series operators."""
-    rows = []
-    for progress in query.recentProgress:
-        at = progress.timestamp
-        for metric, value in {
-            "input_rows": progress.numInputRows,
-            "rows_per_second": progress.processedRowsPerSecond,
-            "batch_ms": progress.batchDuration,
-        }.items():
-            rows.append((at, metric, {"query": name}, float(value)))
-    points = spark.createDataFrame(
-        rows, "at string, metric string, labels map<string,string>, value double"
-    )
-    return points.select(
-        F.to_timestamp("at").cast("timestamp_ntz").alias("ts"), "metric", "labels", "value"
-    )
+    """The progress a query still remembers as metric points. ``ProgressLog`` keeps all of it."""
+    rows = [row for progress in query.recentProgress for row in points_of(progress, name)]
+    return typed_points(spark.createDataFrame(rows, POINTS))
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps every progress update of a session's streams in a folder, as metric points.
+
+    Register it with ``spark.streams.addListener``. A query that fails leaves a point ``failed``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, POINTS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self._append(points_of(event.progress, event.progress.name or str(event.progress.id)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception is not None:
+            now = datetime.now(timezone.utc).isoformat()
+            self._append([(now, "failed", {"query": str(event.id)}, 1.0)])
+
+    def read(self) -> DataFrame:
+        return typed_points(self.spark.read.schema(POINTS).parquet(self.path))

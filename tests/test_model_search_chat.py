@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from fixtures import CLOCK, frames
@@ -63,6 +64,33 @@ def trigram_score(a, b):
     return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
+def test_a_table_of_queries_loses_no_match(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    catalog = spark.createDataFrame(list(enumerate(names)), "position_id int, issuer string")
+    queries = spark.createDataFrame([(k, n) for k, n in enumerate(names) if k % 10 == 0], "query_id int, query string")
+    got = {(r.query_id, r.position_id): r.score for r in search.search_table(catalog, queries, least=0.4, max_results=1000).collect()}
+    want = {
+        (q, k): trigram_score(names[q], n)
+        for q in range(0, 150, 10) for k, n in enumerate(names) if trigram_score(names[q], n) >= 0.4
+    }
+    assert got == pytest.approx(want)
+
+
+def test_model_ranges_and_key_checks(sources):
+    import bookpulse.plans.model as model
+
+    every = query_model(BOOK, sources, ["event_type"], ["events"]).agg(F.sum("events")).first()[0]
+    span = sources["events"].where("event_type <> 'WARMUP'").agg(F.min("event_ts"), F.max("event_ts")).first()
+    within = {"event_ts": model.Between(span[0], span[1])}
+    assert query_model(BOOK, sources, ["event_type"], ["events"], where=within).agg(F.sum("events")).first()[0] == every
+    beyond = {"event_ts": model.Between(low=span[1])}
+    assert query_model(BOOK, sources, ["event_type"], ["events"], where=beyond).agg(F.sum("events")).first()[0] == 1
+    twice = {**sources, "positions": sources["positions"].unionByName(sources["positions"])}
+    with pytest.raises(ValueError):
+        query_model(BOOK, twice, ["sector"], ["events"], check_keys=True)
+
+
 def test_scores_against_brute_force(spark):
     names = ["Élan Vital", "elan-vital co", "A", "Ab", "zz  top", "Zz/Top!", "日本 銀行"]
     catalog = spark.createDataFrame(list(enumerate(names)), "position_id int, issuer string")

@@ -1,3 +1,4 @@
+import time
 from datetime import timedelta
 from decimal import Decimal
 
@@ -168,6 +169,31 @@ def test_enriched_stream_equals_batch(spark, source, tmp_path):
     assert health.where("metric = 'input_rows'").agg(F.sum("value")).first()[0] == 23
 
 
+def test_all_progress_is_logged(spark, source, tmp_path):
+    log = streams.ProgressLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        run(source(), EventSink(str(tmp_path / "out")), tmp_path / "cp")
+        for _ in range(60):  # updates come in a thread of their own
+            found = read_if_there(spark, log.path, streams.POINTS)
+            if found is not None and found.where("metric = 'input_rows'").agg(F.sum("value")).first()[0] == 23:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.read().where("metric = 'input_rows'").agg(F.sum("value")).first()[0] == 23
+
+
+def test_state_expires_when_read(spark, source, tmp_path):
+    sink = ChangeSink(str(tmp_path / "changes"), ["position_id"])
+    run(streams.latest_state(source().dropDuplicates(["event_id"])), sink, tmp_path / "cp", "update")
+    state = sink.read(spark)
+    now = streams.live_state(state, CLOCK)
+    assert now.where("mark is not null").count() > 0
+    assert now.where(F.col("mark.event_ts") < F.lit(ago(hours=24))).count() == 0
+    assert streams.live_state(state, type(CLOCK).fixed(ago(hours=-48))).count() == 0
+
+
 def test_snapshot_refresh_and_expiry(spark, source, tmp_path):
     events, positions = frames(spark)
 
