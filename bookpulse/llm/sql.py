@@ -80,4 +80,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 FROM judged
 """
 
-SQL = {"op3_exact_dedup": EXACT_DEDUP, "op4_mixing": MIXING, "op5_quality": QUALITY}
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       -- each turn has 24 characters of template; a control string inside a text takes one more
+       sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<_\1|', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+SQL = {"op3_exact_dedup": EXACT_DEDUP, "op4_mixing": MIXING, "op5_quality": QUALITY, "op7_chat_format": CHAT}
