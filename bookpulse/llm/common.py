@@ -71,9 +71,19 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id and text digest are among ``kept`` (doc_id, sha), once each."""
-    once = store(kept.distinct(), "kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    """The documents whose id and text digest are among ``kept`` (doc_id, sha, rows), once each.
+
+    ``rows`` is how many documents share that id and digest; only where it is over 1 must documents
+    be told apart, and texts move once more.
+    """
+    once = store(kept.distinct(), "kept").select(
+        F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("rows").alias("__rows")
+    )
     met = docs.withColumn("__own", F.sha2(text_of().cast("binary"), 256)).join(
         once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
     )
-    return met.dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    columns = [docs[name] for name in docs.columns]
+    if once.where("__rows > 1").isEmpty():
+        return met.select(*columns)
+    again = met.where("__rows > 1").dropDuplicates(["__id", "__own"])
+    return met.where("__rows = 1").select(*columns).unionByName(again.select(*docs.columns))

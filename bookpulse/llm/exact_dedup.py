@@ -121,5 +121,6 @@ def distinct_documents(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
     Rows that also share their id are told apart by nothing but place; of those, one stays.
     """
-    marked = duplicate_groups(docs, size).where("kept")
-    return keep_rows(docs, marked.select("doc_id", F.col("text_sha256").alias("sha")))
+    marked = duplicate_groups(docs, size).groupBy("doc_id", F.col("text_sha256").alias("sha"))
+    kept = marked.agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+    return keep_rows(docs, kept.drop("kept"))

@@ -323,7 +323,10 @@ def fingerprint_components(docs: DataFrame, size: int = 3, limit: int = 2) -> Da
 def near_duplicates(
     docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 8, check_limit: int = 18
 ) -> DataFrame:
-    """(doc_id, sha, row, component, kept): one document of each group stays, the one with the least id."""
+    """(doc_id, sha, rows, component, kept): one document of each group stays, the one with the least id.
+
+    Documents with equal id and text are one row here; ``rows`` is their number.
+    """
 
     def marks(texts: list[str]) -> Iterator[tuple[int, int]]:
         for words in map(words_of, texts):
@@ -342,7 +345,7 @@ def near_duplicates(
     kind = keyed.schema["key"].dataType.simpleString()
     rows = store(
         map_rows(keyed, [F.col("key"), F.col("text")], f"key {kind}, probe long, check long", first)
-        .groupBy("key").agg(F.max("probe").alias("probe"), F.max("check").alias("check"))
+        .groupBy("key").agg(F.max("probe").alias("probe"), F.max("check").alias("check"), F.count("*").alias("rows"))
         .withColumn("row", F.monotonically_increasing_id()),
         "marks",
     )
@@ -364,10 +367,10 @@ def near_duplicates(
     order = F.struct(F.col("key.doc_id").isNull(), F.col("key.doc_id"), F.col("row"))
     stays = store(joined.groupBy("component").agg(F.min_by("row", order).alias("stays")), "stays")
     return joined.join(stays, "component").select(
-        "key.doc_id", "key.sha", "row", "component", (F.col("row") == F.col("stays")).alias("kept")
+        "key.doc_id", "key.sha", "rows", "component", (F.col("row") == F.col("stays")).alias("kept")
     )
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, with its own columns."""
-    return keep_rows(docs, near_duplicates(docs, size, similarity).where("kept").select("doc_id", "sha"))
+    return keep_rows(docs, near_duplicates(docs, size, similarity).where("kept").select("doc_id", "sha", "rows"))
