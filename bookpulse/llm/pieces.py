@@ -40,7 +40,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 MARK = "▁"
 #: Words and pairs that a worker remembers before it drops the older ones.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Characters at a word's start whose paths are remembered for other words.
+HEAD = 6
+#: Documents that are encoded before they are handed on.
+SLICE = 500
 NEVER = -math.inf
 #: The parts of a text between its cuts.
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,6 +59,8 @@ class Lattice:
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.cuts = not any(b == MARK != a for piece in scores for a, b in zip(piece, piece[1:], strict=False))
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Last pieces of all prefixes of the first characters that words share.
+        self.heads: dict[str, list[str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding: of all adjacent pairs that form a piece, the best and leftmost first."""
@@ -115,8 +121,14 @@ class Lattice:
             return self.trace(text, 0, len(text))
         # ``forward`` for byte pairs from a text's start: a prefix has one path, so its last piece is enough.
         pairs, scores, longest = self.pairs, self.scores, self.longest
-        last = [""]
-        for at in range(1, len(text) + 1):
+        head = text[:HEAD] if len(text) > HEAD else ""
+        last = self.heads.get(head)
+        last = [""] if last is None else last.copy()
+        for at in range(len(last), len(text) + 1):
+            if at == HEAD + 1 and head and head not in self.heads:
+                if len(self.heads) >= REMEMBERED:
+                    self.heads.clear()
+                self.heads[head] = last.copy()
             for begin in range(at - 1, max(at - longest, 0) - 1, -1):
                 piece = text[begin:at]
                 if piece in scores or begin == at - 1:
@@ -261,8 +273,11 @@ class Model:
         self.pieces = [self.file.id_to_piece(k) for k in numbers]
         self.ids = {self.pieces[k]: k for k in plain}
         self.octets = {int(self.pieces[k][3:5], 16): k for k in numbers if self.file.is_byte(k)}
-        self.octet_of = {k: octet for octet, k in self.octets.items()}
-        self.silent = {k for k in numbers if self.file.is_control(k)}
+        octet_of = {k: bytes([octet]) for octet, k in self.octets.items()}
+        self.said = [
+            octet_of.get(k, b"" if self.file.is_control(k) else self.pieces[k].replace(MARK, " ").encode()) for k in numbers
+        ]
+        self.written = [str(k) for k in numbers]
         self.lattice = Lattice({self.pieces[k]: self.file.get_score(k) for k in plain}, model_kind(self.file.serialized_model_proto()) == 2)
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -306,13 +321,7 @@ class Model:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; ``first`` takes away the space that encoding puts before a text."""
-        out = bytearray()
-        for k in ids:
-            if k in self.octet_of:
-                out.append(self.octet_of[k])
-            elif k not in self.silent:
-                out += self.pieces[k].replace(MARK, " ").encode()
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if first and text.startswith(" ") else text
 
 
@@ -327,30 +336,51 @@ def with_fields(df: DataFrame, drop: tuple[str, ...], extra: str) -> tuple[list[
     return [f.name for f in kept], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), extra])
 
 
-def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+#: What a part of a document is given as: its ids, or what can be told from them (see ``told``).
+IDS, TOLD = "ids array<int>", "n_ids long, said string, decoded string"
+
+
+def told(own: Model, ids: list[int], part: int, whole: bool) -> tuple[int, str, str]:
+    """The number of ids, the ids as text, the decoded text; of a whole document the digests of both."""
+    said, text = ",".join(map(own.written.__getitem__, ids)), own.decode(ids, part == 0)
+    if whole:
+        said, text = (hashlib.sha256(value.encode()).hexdigest() for value in (said, text))
+    return len(ids), said, text
+
+
+def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, give: str = IDS) -> DataFrame:
     """All columns but ``text``, with ``__row``, ``part``, ``parts`` and the ``ids`` of that part.
 
-    A text of one chunk is one part without a ``__row``; the parts of a longer one share its ``__row``.
+    Columns of the same names are replaced. A text of one chunk is one part without a ``__row``; the parts of a longer one share its ``__row``.
     """
     spark = docs.sparkSession
+    docs = docs.drop("__row", "part", "parts", *[f.split()[0] for f in f"{IDS}, {TOLD}".split(", ")])
     marked = docs.withColumn("text", text_of())
     short = marked.where(F.length("text") < chunk)
-    names, schema = with_fields(docs, ("text",), "__row long, part int, parts int, ids array<int>")
+    names, schema = with_fields(docs, ("text",), f"__row long, part int, parts int, {give}")
     fields = pa_schema(spark, schema)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for batch in batches:
-            if batch.num_rows:
+        for large in batches:
+            for start in range(0, large.num_rows, SLICE):
+                batch = large.slice(start, SLICE)
                 n = batch.num_rows
-                ids = [own.encode(own.normal(text)) for text in batch.column("text").to_pylist()]
-                ends = [pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(ids, pa.list_(pa.int32()))]
+                coded = (own.encode(own.normal(text)) for text in batch.column("text").to_pylist())
+                if give == IDS:
+                    made = [pa.array([np.array(ids, np.int32) for ids in coded], pa.list_(pa.int32()))]
+                else:
+                    kinds = (pa.int64(), pa.string(), pa.string())
+                    facts = zip(*[told(own, ids, 0, True) for ids in coded], strict=True)
+                    made = [pa.array(values, kind) for values, kind in zip(facts, kinds, strict=True)]
+                ends = [pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), *made]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(fields.field(c).type) for c in names), *ends], schema=fields)
 
-    return short.mapInArrow(whole, schema).unionByName(encode_long(marked.where(F.length("text") >= chunk), path, chunk))
+    long = encode_long(marked.where(F.length("text") >= chunk), path, chunk, give)
+    return short.mapInArrow(whole, schema).unionByName(long)
 
 
-def encode_long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+def encode_long(docs: DataFrame, path: str, chunk: int, give: str) -> DataFrame:
     """``encode`` for texts of several chunks."""
     spark = docs.sparkSession
     names, _ = with_fields(docs, ("text",), "")
@@ -395,21 +425,24 @@ def encode_long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
     weights = chunks.mapInArrow(weigh, weight_schema)
     states = store(weights.groupBy("__row").applyInPandas(scan, "__row long, part int, enter int, leave int"), "states")
-    id_schema = "__row long, part int, parts int, ids array<int>"
+    id_schema = f"__row long, part int, parts int, {give}"
     id_fields = pa_schema(spark, id_schema)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
             for row, part, parts, low, high, around, enter, leave in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = row, part, parts, own.chunk(around, low, high, part == parts - 1, enter, leave)
+                ids = own.chunk(around, low, high, part == parts - 1, enter, leave)
+                values = row, part, parts, *([ids] if give == IDS else told(own, ids, part, False))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], f.type) for v, f in zip(values, id_fields, strict=True)], schema=id_fields
                 )
 
     between = chunks.join(states, ["__row", "part"]).select("__row", "part", "parts", "low", "high", "around", "enter", "leave")
     coded = between.mapInArrow(trace, id_schema)
-    return coded.join(numbered.drop("text"), "__row").select(*names, "__row", "part", "parts", "ids")
+    return coded.join(numbered.drop("text"), "__row").select(
+        *names, "__row", "part", "parts", *[f.name for f in id_fields][3:]
+    )
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -435,9 +468,9 @@ def digests(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", text_of().alias("text"), F.length(text_of()).cast("long").alias("n_chars"), F.sha2(text_of().cast("binary"), 256).alias("own"))
-    coded = decode(encode(own, path, chunk).withColumn("said", F.concat_ws(",", F.col("ids").cast("array<string>"))).withColumn("n_ids", F.size("ids").cast("long")), path)
-    short = coded.where("parts = 1").select(
-        "doc_id", "n_chars", "n_ids", F.sha2("said", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "own"
+    coded = encode(own, path, chunk, TOLD)
+    short = coded.where("parts = 1 and __row is null").select(
+        "doc_id", "n_chars", "n_ids", F.col("said").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"), "own"
     )
 
     def joined(frame):
@@ -446,10 +479,10 @@ def digests(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame
         return frame.head(1).assign(
             n_ids=frame["n_ids"].sum(),
             ids_sha256=hashlib.sha256(",".join(frame["said"]).encode()).hexdigest(),
-            decoded_sha256=hashlib.sha256("".join(frame["text"]).encode()).hexdigest(),
+            decoded_sha256=hashlib.sha256("".join(frame["decoded"]).encode()).hexdigest(),
             own=first["own"],
         )[["doc_id", "n_chars", "n_ids", "ids_sha256", "decoded_sha256", "own"]]
 
     schema = f"doc_id {kind}, n_chars long, n_ids long, ids_sha256 string, decoded_sha256 string, own string"
-    long = coded.where("parts > 1").groupBy("__row").applyInPandas(joined, schema)
+    long = coded.where("__row is not null").groupBy("__row").applyInPandas(joined, schema)
     return short.unionByName(long).withColumn("round_trip", F.col("own") == F.col("decoded_sha256")).drop("own")
