@@ -348,11 +348,18 @@ def told(own: Model, ids: list[int], part: int, whole: bool) -> tuple[int, str,
     return len(ids), said, text
 
 
-def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, give: str = IDS) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """All columns but ``text``, with ``__row``, ``part``, ``parts`` and the ``ids`` of that part.
 
-    Columns of the same names are replaced. A text of one chunk is one part without a ``__row``; the parts of a longer one share its ``__row``.
+    Columns of the same names are replaced. A text of one chunk is one part without a ``__row``; the
+    parts of a longer one share its ``__row``.
     """
+    short, long = encode_each(docs, path, chunk, IDS)
+    return short.unionByName(long)
+
+
+def encode_each(docs: DataFrame, path: str, chunk: int, give: str) -> tuple[DataFrame, DataFrame]:
+    """The parts of texts of one chunk, and those of longer texts."""
     spark = docs.sparkSession
     docs = docs.drop("__row", "part", "parts", *[f.split()[0] for f in f"{IDS}, {TOLD}".split(", ")])
     marked = docs.withColumn("text", text_of())
@@ -377,7 +384,7 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, give: str = I
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(fields.field(c).type) for c in names), *ends], schema=fields)
 
     long = encode_long(marked.where(F.length("text") >= chunk), path, chunk, give)
-    return short.mapInArrow(whole, schema).unionByName(long)
+    return short.mapInArrow(whole, schema), long
 
 
 def encode_long(docs: DataFrame, path: str, chunk: int, give: str) -> DataFrame:
@@ -468,8 +475,8 @@ def digests(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", text_of().alias("text"), F.length(text_of()).cast("long").alias("n_chars"), F.sha2(text_of().cast("binary"), 256).alias("own"))
-    coded = encode(own, path, chunk, TOLD)
-    short = coded.where("parts = 1 and __row is null").select(
+    whole, parts = encode_each(own, path, chunk, TOLD)
+    short = whole.select(
         "doc_id", "n_chars", "n_ids", F.col("said").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"), "own"
     )
 
@@ -484,5 +491,5 @@ def digests(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame
         )[["doc_id", "n_chars", "n_ids", "ids_sha256", "decoded_sha256", "own"]]
 
     schema = f"doc_id {kind}, n_chars long, n_ids long, ids_sha256 string, decoded_sha256 string, own string"
-    long = coded.where("__row is not null").groupBy("__row").applyInPandas(joined, schema)
+    long = parts.groupBy("__row").applyInPandas(joined, schema)
     return short.unionByName(long).withColumn("round_trip", F.col("own") == F.col("decoded_sha256")).drop("own")
