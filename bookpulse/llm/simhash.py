@@ -21,13 +21,25 @@ Equal fingerprints are one node. Links are joined to components by stars (compon
 Null and empty texts have fingerprint zero, which links like any other. Null ids are never the id of
 a component that has another. Repeated rows are in one component. Other columns don't matter.
 
-``near_duplicates`` is for whole documents: it probes with the SimHash of distinct words, which an edit
-moves least, keeps links whose five-word SimHash is near as well, and confirms each by the Jaccard
-similarity of the five-word shingles.
+``near_duplicates`` is for whole documents and exact: documents are joined just if a chain of pairs whose
+five-word shingles have the Jaccard similarity asked for links them. SimHashes only join most of them
+cheaply: links near in the SimHash of distinct words and of five-word shingles are confirmed by the
+similarity. What they miss or have refused is found by the shingles themselves:
+
+1. All documents order their shingles alike, common ones last. Similar ones share one of the first
+   ``n - ceil(similarity * n) + 1``, their prefix (prefix filtering). How common a shingle is comes from
+   a sample; it moves the cost, not the result.
+2. Only prefix shingles that documents of different components share are looked at: one partial row per
+   task and shingle, so a shingle of one large, joined group costs nothing more.
+3. In a few rounds every document there meets one document of each of its shingles, picked by hash;
+   so what is left of a large group is joined to it without all pairs.
+4. Then every pair that shares a prefix shingle, lies in different components and may be similar by its
+   sizes is confirmed. No pair is left untested.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, chain, combinations
@@ -49,6 +61,10 @@ BUCKET = 20_000
 ROW_COST = 400
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 16
+#: Rounds in which documents meet one other for each shingle before all pairs left are met.
+ROUNDS = 3
+#: Shingles known to be common: counted in one of so many documents, from so many of those, so many at most.
+SAMPLE, COMMON, KNOWN = 16, 3, 500_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -320,6 +336,47 @@ def fingerprint_components(docs: DataFrame, size: int = 3, limit: int = 2) -> Da
     )
 
 
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of a sample of the texts, in order, and how common they are."""
+    sample = docs.where(F.pmod(F.xxhash64(text_of()), F.lit(SAMPLE)) == 0)
+
+    def rows(texts: list[str]) -> list[list]:
+        return [np.concatenate([np.unique(shingle_hashes(words_of(text), size)) for text in texts]).astype(np.int64)]
+
+    found = (
+        map_rows(sample, [text_of()], "shingle long", rows)
+        .groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+        .orderBy(F.desc("n"), "shingle").limit(KNOWN).toArrow()
+    )
+    shingles, n = (found[c].to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def prefix(shingles: np.ndarray, known: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which a set shares one with each set as similar; ``known`` ones, n times met, come last."""
+    count = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(known[at] == shingles, n[at], 0)))]
+    return shingles[:count]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (row, shingles) have the Jaccard similarity."""
+    one = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
+    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their component; a row without links is one of its own."""
+    joined = rows.join(labels, F.col("node") == F.col("row"), "left")
+    return joined.withColumn("component", F.coalesce("component", "row")).drop("node")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 8, check_limit: int = 18
 ) -> DataFrame:
@@ -327,12 +384,17 @@ def near_duplicates(
 
     Documents with equal id and text are one row here; ``rows`` is their number.
     """
+    model = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
-    def marks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    def marks(texts: list[str]) -> Iterator[tuple]:
         for words in map(words_of, texts):
+            hashes = shingle_hashes(words, size)
+            shingles = np.unique(hashes.astype(np.int64))
             yield (
                 fingerprint(shingle_hashes(list(dict.fromkeys(words)), 1)),
-                fingerprint(shingle_hashes(words, size)),
+                fingerprint(hashes),
+                len(shingles),
+                prefix(shingles, *model.value, similarity),
             )
 
     def first(rows: list, texts: list[str]) -> list[list]:
@@ -343,27 +405,55 @@ def near_duplicates(
 
     keyed = docs.select(F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha")).alias("key"), text_of().alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    rows = store(
-        map_rows(keyed, [F.col("key"), F.col("text")], f"key {kind}, probe long, check long", first)
-        .groupBy("key").agg(F.max("probe").alias("probe"), F.max("check").alias("check"), F.count("*").alias("rows"))
+    marked = store(
+        map_rows(keyed, [F.col("key"), F.col("text")], f"key {kind}, probe long, check long, n int, prefix array<long>", first)
+        .groupBy("key").agg(*[F.first(c).alias(c) for c in ("probe", "check", "n", "prefix")], F.count("*").alias("rows"))
         .withColumn("row", F.monotonically_increasing_id()),
         "marks",
     )
+    rows = marked.drop("n", "prefix")
+
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = store(rows.join(wanted, "row").select("key", F.col("row")), f"{name}-wanted")
+        texts = keyed.join(wanted, keyed["key"].eqNullSafe(wanted["key"]))
+        one = map_rows(texts, [F.col("row"), F.col("text")], "row long, shingles array<long>", shingles)
+        return store(one.dropDuplicates(["row"]), f"{name}-sets")
+
     nodes = store(rows.groupBy("probe", "check").agg(F.min("row").alias("id")), "nodes")
     alike = rows.join(nodes, ["probe", "check"]).where("row <> id").select(F.col("id").alias("a"), F.col("row").alias("b"))
     candidates = store(links(nodes, limit, check_limit).unionByName(alike), "candidates")
-
-    ends = store(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-    wanted = store(rows.join(ends, "row").select("key", F.col("row")), "wanted")
-    texts = keyed.join(wanted, keyed["key"].eqNullSafe(wanted["key"]))
-    sets = store(map_rows(texts, [F.col("row"), F.col("text")], "row long, shingles array<long>", shingles), "sets")
-    one = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
-    confirmed = candidates.join(one, "a").join(two, "b").where(alike).select("a", "b")
-    labels = store(components(confirmed), "labels")
-    joined = store(rows.join(labels, F.col("node") == F.col("row"), "left").withColumn("component", F.coalesce("component", "row")), "joined")
+    sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "candidate")
+    found = store(confirmed(candidates, sets, similarity), "confirmed")
+    labels = store(components(found), "labels")
+
+    # What the links have missed: by prefix shingles that lie in more than one component.
+    placed = labelled(marked.select("row", "n", "prefix"), labels).select("row", "n", "component", F.explode("prefix").alias("shingle"))
+    mixed = store(
+        placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high").select("shingle"),
+        "mixed",
+    )
+    blocks = store(placed.join(mixed, "shingle").select("shingle", "row", "n"), "blocks")
+    sets = sets_of(blocks.select("row").distinct(), "block")
+    by_size = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    for k in range(ROUNDS + 1):
+        now = store(labelled(blocks, labels), "placed")
+        if k < ROUNDS:
+            other = now.groupBy("shingle").agg(
+                F.min_by(F.struct("row", "n", "component"), F.xxhash64("shingle", "row")).alias("other")
+            ).select("shingle", F.col("other.row").alias("b"), F.col("other.n").alias("m"), F.col("other.component").alias("c"))
+        else:
+            other = now.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+        met = now.join(other, "shingle").where((F.col("component") != F.col("c")) & by_size)
+        if k == ROUNDS:
+            met = met.where("row < b")
+        pairs = met.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
+        more = store(confirmed(pairs, sets, similarity), "more")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = store(components(found), "labels")
+
+    joined = store(labelled(rows, labels), "joined")
     order = F.struct(F.col("key.doc_id").isNull(), F.col("key.doc_id"), F.col("row"))
     stays = store(joined.groupBy("component").agg(F.min_by("row", order).alias("stays")), "stays")
     return joined.join(stays, "component").select(

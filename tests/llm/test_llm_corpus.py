@@ -233,6 +233,39 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert len([c for c in copies if c in left]) <= 0.05 * len(copies)
 
 
+def near_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in simhash.near_duplicates(df).collect():
+        out.setdefault(r.component, set()).add(r.doc_id)
+    return sorted(map(sorted, out.values()))
+
+
+def brute_groups(texts):
+    """Groups that shingles of similarity 0.8 or more link, by all pairs."""
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if group[i] != group[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            group = [group[i] if g == group[j] else g for g in group]
+    return sorted(sorted(k for k, g in enumerate(group) if g == name) for name in set(group))
+
+
+def test_groups_at_the_similarity_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(3000)]
+    often = [1 / (k + 1) for k in range(3000)]
+    base = rng.choices(words, often, k=300)
+    texts = []
+    for _ in range(300):
+        text = list(base)
+        for at in rng.sample(range(300), rng.randint(4, 6)):
+            text[at] = rng.choices(words, often)[0]
+        texts.append(" ".join(text))
+    assert near_groups(spark, texts) == brute_groups(texts)
+
+
 # Mixing
 
 def test_targets_share_by_weight_up_to_the_cap(spark, odd, none):
