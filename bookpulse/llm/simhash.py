@@ -31,10 +31,11 @@ similarity. What they miss or have refused is found by the shingles themselves:
    a sample; it moves the cost, not the result.
 2. Only prefix shingles that documents of different components share are looked at: one partial row per
    task and shingle, so a shingle of one large, joined group costs nothing more.
-3. In a few rounds every document there meets one document of each of its shingles, picked by hash;
-   so what is left of a large group is joined to it without all pairs.
-4. Then every pair that shares a prefix shingle, lies in different components and may be similar by its
-   sizes is confirmed. No pair is left untested.
+3. First every document there meets one document of each of its shingles, picked by hash, if their
+   SimHashes are near; so what is left of a large group is joined to it without all pairs.
+4. Then every pair in different components is confirmed that shares as many prefix shingles as the
+   similarity demands: past its prefix a set has ``ceil(similarity * n) - 1`` shingles to share. No
+   pair that may be similar is left untested.
 """
 
 from __future__ import annotations
@@ -61,8 +62,6 @@ BUCKET = 20_000
 ROW_COST = 400
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 16
-#: Rounds in which documents meet one other for each shingle before all pairs left are met.
-ROUNDS = 3
 #: Shingles known to be common: counted in one of so many documents, from so many of those, so many at most.
 SAMPLE, COMMON, KNOWN = 16, 3, 500_000
 
@@ -416,8 +415,7 @@ def near_duplicates(
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
         wanted = store(rows.join(wanted, "row").select("key", F.col("row")), f"{name}-wanted")
         texts = keyed.join(wanted, keyed["key"].eqNullSafe(wanted["key"]))
-        one = map_rows(texts, [F.col("row"), F.col("text")], "row long, shingles array<long>", shingles)
-        return store(one.dropDuplicates(["row"]), f"{name}-sets")
+        return store(map_rows(texts, [F.col("row"), F.col("text")], "row long, shingles array<long>", shingles), f"{name}-sets")
 
     nodes = store(rows.groupBy("probe", "check").agg(F.min("row").alias("id")), "nodes")
     alike = rows.join(nodes, ["probe", "check"]).where("row <> id").select(F.col("id").alias("a"), F.col("row").alias("b"))
@@ -427,30 +425,35 @@ def near_duplicates(
     labels = store(components(found), "labels")
 
     # What the links have missed: by prefix shingles that lie in more than one component.
-    placed = labelled(marked.select("row", "n", "prefix"), labels).select("row", "n", "component", F.explode("prefix").alias("shingle"))
+    placed = labelled(marked.select("row", "prefix"), labels).select("component", F.explode("prefix").alias("shingle"))
     mixed = store(
         placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high").select("shingle"),
         "mixed",
     )
-    blocks = store(placed.join(mixed, "shingle").select("shingle", "row", "n"), "blocks")
-    sets = sets_of(blocks.select("row").distinct(), "block")
-    by_size = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    for k in range(ROUNDS + 1):
-        now = store(labelled(blocks, labels), "placed")
-        if k < ROUNDS:
-            other = now.groupBy("shingle").agg(
-                F.min_by(F.struct("row", "n", "component"), F.xxhash64("shingle", "row")).alias("other")
-            ).select("shingle", F.col("other.row").alias("b"), F.col("other.n").alias("m"), F.col("other.component").alias("c"))
+    blocks = store(marked.select("row", F.explode("prefix").alias("shingle")).join(mixed, "shingle").select("shingle", "row"), "blocks")
+    facts = marked.select("row", "n", "check")
+    for last in (False, True):
+        now = store(labelled(blocks.join(facts, "row"), labels), "placed")
+        member = F.struct("row", "n", "check", "component").alias("other")
+        if last:
+            met = now.join(now.select("shingle", member), "shingle").where("row < other.row")
         else:
-            other = now.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-        met = now.join(other, "shingle").where((F.col("component") != F.col("c")) & by_size)
-        if k == ROUNDS:
-            met = met.where("row < b")
-        pairs = met.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
-        more = store(confirmed(pairs, sets, similarity), "more")
-        if not more.isEmpty():
-            found = found.unionByName(more)
+            met = now.join(now.groupBy("shingle").agg(F.min_by(member, F.xxhash64("shingle", "row")).alias("other")), "shingle")
+            met = met.where(F.bit_count(F.col("check").bitwiseXOR(F.col("other.check"))) <= check_limit)
+        low, high = F.least("n", "other.n"), F.greatest("n", "other.n")
+        pairs = (
+            met.where((F.col("component") != F.col("other.component")) & (low >= similarity * high - 1e-9))
+            .groupBy(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b"))
+            .agg(F.count("*").alias("shared"), F.first(low).alias("low"), F.first(high).alias("high"))
+        )
+        if last:
+            past = F.ceil(similarity * F.col("high") - 1e-9) - 1
+            pairs = pairs.where(F.col("shared") + past >= similarity / (1 + similarity) * (F.col("low") + F.col("high")) - 1e-9)
+        pairs = store(pairs.select("a", "b"), "pairs")
+        if not pairs.isEmpty():
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair")
+            found = found.unionByName(store(confirmed(pairs, sets, similarity), "more"))
             labels = store(components(found), "labels")
 
     joined = store(labelled(rows, labels), "joined")

@@ -266,6 +266,23 @@ def test_groups_at_the_similarity_by_brute_force(spark):
     assert near_groups(spark, texts) == brute_groups(texts)
 
 
+def test_edits_of_every_shape_by_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(4000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=300)
+        block = list(base)
+        at = rng.randrange(270)
+        block[at : at + 24] = rng.choices(words, k=24)
+        scattered = list(base)
+        for at in rng.sample(range(300), 5):
+            scattered[at] = rng.choice(words)
+        texts += [" ".join(t) for t in (base, base + rng.choices(words, k=66), block, scattered)]
+    want = brute_groups(texts)
+    assert len(want) == 40 and near_groups(spark, texts) == want
+
+
 # Mixing
 
 def test_targets_share_by_weight_up_to_the_cap(spark, odd, none):
