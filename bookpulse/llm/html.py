@@ -2,8 +2,8 @@
 
 The parser's events become lines: the text of a block with the number of tags met in it. The ratio
 of text to tags of each line is smoothed with a Gaussian kernel and split in two clusters by a
-threshold. The lines above it are seeds; the region they lie in (the article or main element, or
-else the smallest element with most of the seeds' text) is the content, and all its lines are kept
+threshold. The lines above it are seeds. The content is all article and main elements, nested ones as
+part of the outermost, or without any the smallest element with most of the seeds' text. All its lines are kept
 but those in elements that are something else by name: menus, headers, footers, sidebars, notices,
 adverts, forms, comments. Short lines inside the region stay.
 
@@ -70,7 +70,7 @@ class Events(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text and not self.other:
-            region = next((n for name, n, _ in reversed(self.stack) if name in REGIONS), -1)
+            region = next((n for name, n, _ in self.stack if name in REGIONS), -1)
             path = tuple(n for name, n, _ in self.stack if name in HOLDERS)
             self.lines.append(Line(text, self.tags, path, region))
         if text or self.parts:
@@ -173,12 +173,11 @@ def content(lines: list[Line]) -> list[str]:
     """The texts of the region that the lines of high ratio lie in."""
     if not lines:
         return []
+    if any(line.region >= 0 for line in lines):
+        return [line.text for line in lines if line.region >= 0]
     ratios = smoothed([len(line.text) / max(1, line.tags) for line in lines])
     border = threshold(ratios)
     seeds = [line for line, ratio in zip(lines, ratios, strict=True) if ratio >= border] or lines
-    if any(line.region >= 0 for line in lines):
-        regions = {line.region for line in seeds if line.region >= 0} or {line.region for line in lines}
-        return [line.text for line in lines if line.region in regions and line.region >= 0]
     weight: dict[int, int] = {}
     depth: dict[int, int] = {}
     for line in seeds:

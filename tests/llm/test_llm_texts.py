@@ -127,6 +127,14 @@ def test_main_text():
     assert html.main_text("<article><p>x") == "x"
 
 
+def test_nested_and_several_articles():
+    long = "A paragraph of the article that goes on and on for a good while. " * 6
+    nested = f"<main><h1>Title</h1><article><p>{long}</p><p>{long}</p><p>{long}</p></article><p>short end</p></main><p>Outside</p>"
+    assert html.main_text(nested).split("\n") == ["Title", *[long.strip()] * 3, "short end"]
+    several = f"<article><p>{long}</p><p>{long}</p></article><p>between</p>" + "<article><h2>Note</h2><p>Brief.</p></article>" * 2
+    assert html.main_text(several).split("\n") == [long.strip(), long.strip(), *["Note", "Brief."] * 2]
+
+
 def test_pages_of_every_kind(spark):
     pages = spark.createDataFrame(
         [(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", "<p>" * 20000 + "deep"), (3, "u", "<p>a</p></div></b><i>b")],
