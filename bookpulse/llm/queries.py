@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, toxicity
+from bookpulse.llm import chat, classifier, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, toxicity
 from bookpulse.llm.common import table
 
 
@@ -67,6 +67,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    learned = classifier.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
+    scored = classifier.score(docs, learned, [F.col("doc_id"), (fold(5) == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +88,6 @@ QUERIES = {
         op8_language_id,
         op9_html_extract,
         op10_sentencepiece,
+        op11_quality_classifier,
     )
 }
