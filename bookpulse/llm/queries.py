@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, classifier, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, toxicity
+from bookpulse.llm import chat, classifier, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, spelling, toxicity
 from bookpulse.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.variant_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +93,6 @@ QUERIES = {
         op9_html_extract,
         op10_sentencepiece,
         op11_quality_classifier,
+        op12_spelling_variants,
     )
 }
