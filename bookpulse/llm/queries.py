@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import chat, classifier, exact_dedup, html, langid, mixing, pieces, pii, quality, simhash, spelling, toxicity
+from bookpulse.llm import chat, classifier, exact_dedup, html, langid, mixing, negatives, pieces, pii, quality, simhash, spelling, toxicity
 from bookpulse.llm.common import table
 
 
@@ -79,6 +79,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.variant_counts(table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # Kept as doubles: a whole number in them is exact, and one beyond all longs stays what it is.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x) < 2.0**40, F.floor(x.cast("double") * 256).cast("double")).otherwise(x.cast("double") * 256))
+    rows = vectors.select(F.col("vec_id").alias("id"), moved.alias("label"), whole.alias("vector"))
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,5 +103,6 @@ QUERIES = {
         op10_sentencepiece,
         op11_quality_classifier,
         op12_spelling_variants,
+        op13_hard_negatives,
     )
 }

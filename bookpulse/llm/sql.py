@@ -95,4 +95,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-SQL = {"op3_exact_dedup": EXACT_DEDUP, "op4_mixing": MIXING, "op5_quality": QUALITY, "op7_chat_format": CHAT}
+HARD_NEGATIVES = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS uid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.uid AS anchor_uid, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same,
+         list_inner_product(a.vec, b.vec)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.uid <> b.uid
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_uid, anchor_id, uid AS positive_uid, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_uid ORDER BY score DESC, vec_id NULLS LAST, uid) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_uid, p.positive_uid ORDER BY s.score DESC, s.vec_id NULLS LAST, s.uid))::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s USING (anchor_uid)
+WHERE NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+SQL = {
+    "op3_exact_dedup": EXACT_DEDUP,
+    "op4_mixing": MIXING,
+    "op5_quality": QUALITY,
+    "op7_chat_format": CHAT,
+    "op13_hard_negatives": HARD_NEGATIVES,
+}
