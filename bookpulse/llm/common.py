@@ -74,16 +74,17 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose id and text digest are among ``kept`` (doc_id, sha, rows), once each.
 
     ``rows`` is how many documents share that id and digest; only where it is over 1 must documents
-    be told apart, and texts move once more.
+    be told apart, and texts move once more. Columns of documents may have any names.
     """
-    once = store(kept.distinct(), "kept").select(
-        F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("rows").alias("__rows")
-    )
-    met = docs.withColumn("__own", F.sha2(text_of().cast("binary"), 256)).join(
-        once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    )
-    columns = [docs[name] for name in docs.columns]
-    if once.where("__rows > 1").isEmpty():
-        return met.select(*columns)
-    again = met.where("__rows > 1").dropDuplicates(["__id", "__own"])
-    return met.where("__rows = 1").select(*columns).unionByName(again.select(*docs.columns))
+    once = store(kept.distinct(), "kept").select(F.struct("doc_id", "sha").alias("wanted"), "rows")
+    own = F.struct(F.col("doc_id"), F.sha2(text_of().cast("binary"), 256).alias("sha")).alias("own")
+    met = whole(docs, own).join(once, F.col("own.doc_id").eqNullSafe(F.col("wanted.doc_id")) & (F.col("own.sha") == F.col("wanted.sha")))
+    if once.where("rows > 1").isEmpty():
+        return met.select("row.*")
+    again = met.where("rows > 1").dropDuplicates(["own"])
+    return met.where("rows = 1").select("row").unionByName(again.select("row")).select("row.*")
+
+
+def whole(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Each document as one column ``row``, beside columns computed from it: no two names can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)

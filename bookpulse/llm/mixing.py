@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import map_rows, store, text_of
+from bookpulse.llm.common import map_rows, store, text_of, whole
 
 
 def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -91,10 +91,8 @@ def mixture(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3)
     sizes = word_sizes(docs, "source")
     targets = store(source_targets(sizes, weights, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets.select(F.col("source").alias("__source"), rate.alias("__rate"))
-    number = copies(F.col("__rate"), seed, F.col("doc_id")).cast("int")
-    return (
-        docs.join(rates, docs["source"].eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.when(number > 0, F.sequence(F.lit(1), number))))
-        .select(*[docs[name] for name in docs.columns])
-    )
+    rates = targets.select(F.col("source").alias("wanted"), rate.alias("rate"))
+    met = whole(docs, F.col("source").alias("own"), F.col("doc_id").alias("key")).join(rates, F.col("own").eqNullSafe(F.col("wanted")))
+    number = copies(F.col("rate"), seed, F.col("key")).cast("int")
+    taken = met.select("row", F.explode(F.when(number > 0, F.sequence(F.lit(1), number))))
+    return taken.select("row.*")

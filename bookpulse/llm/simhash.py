@@ -21,26 +21,13 @@ Equal fingerprints are one node. Links are joined to components by stars (compon
 Null and empty texts have fingerprint zero, which links like any other. Null ids are never the id of
 a component that has another. Repeated rows are in one component. Other columns don't matter.
 
-``near_duplicates`` is for whole documents and exact: documents are joined just if a chain of pairs whose
-five-word shingles have the Jaccard similarity asked for links them. SimHashes only join most of them
-cheaply: links near in the SimHash of distinct words and of five-word shingles are confirmed by the
-similarity. What they miss or have refused is found by the shingles themselves:
-
-1. All documents order their shingles alike, common ones last. Similar ones share one of the first
-   ``n - ceil(similarity * n) + 1``, their prefix (prefix filtering). How common a shingle is comes from
-   a sample; it moves the cost, not the result.
-2. Only prefix shingles that documents of different components share are looked at: one partial row per
-   task and shingle, so a shingle of one large, joined group costs nothing more.
-3. First every document there meets one document of each of its shingles, picked by hash, if their
-   SimHashes are near; so what is left of a large group is joined to it without all pairs.
-4. Then every pair in different components is confirmed that shares as many prefix shingles as the
-   similarity demands: past its prefix a set has ``ceil(similarity * n) - 1`` shingles to share. No
-   pair that may be similar is left untested.
+``without_near_duplicates`` keeps one document of each component, the one with the least id (null ids
+last, then the least digest of the text); extra columns go along, whatever their names. Long texts are
+read whole; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, chain, combinations
@@ -62,8 +49,6 @@ BUCKET = 20_000
 ROW_COST = 400
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 16
-#: Shingles known to be common: counted in one of so many documents, from so many of those, so many at most.
-SAMPLE, COMMON, KNOWN = 16, 3, 500_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -94,14 +79,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of every document."""
+def fingerprints(docs: DataFrame, size: int = 3, keep: dict[str, Column] | None = None) -> DataFrame:
+    """The kept columns (``doc_id`` if none are named) and ``fingerprint`` of every document."""
+    kept = docs.select(*[c.alias(name) for name, c in (keep or {"doc_id": F.col("doc_id")}).items()]).schema
 
-    def rows(ids: list, texts: list[str]) -> list[list]:
-        return [ids, [fingerprint(shingle_hashes(words_of(text), size)) for text in texts]]
+    def rows(*columns: list) -> list[list]:
+        return [*columns[:-1], [fingerprint(shingle_hashes(words_of(text), size)) for text in columns[-1]]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs, [F.col("doc_id"), text_of()], f"doc_id {kind}, fingerprint long", rows)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return map_rows(docs, [*(keep or {"doc_id": F.col("doc_id")}).values(), text_of()], f"{kinds}, fingerprint long", rows)
 
 
 def signed(mask: int) -> int:
@@ -319,151 +305,32 @@ def links(nodes: DataFrame, limit: int, check_limit: int = BITS) -> DataFrame:
         dealt = refined(members.where(~ends), split, limit)
 
 
+def linked(rows: DataFrame, limit: int) -> DataFrame:
+    """(fingerprint, component) of every fingerprint among the rows; a component is named by one of its own."""
+    nodes = rows.select("fingerprint").distinct()
+    graph = store(nodes.select(*[F.col("fingerprint").alias(name) for name in ("id", "probe", "check")]), "nodes")
+    labels = store(components(links(graph, limit)), "labels")
+    joined = graph.join(labels, F.col("node") == F.col("id"), "left")
+    return joined.select(F.col("id").alias("fingerprint"), F.coalesce("component", "id").alias("component"))
+
+
 def fingerprint_components(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; the component is its least ``doc_id``."""
     rows = store(fingerprints(docs, size), "fingerprints")
-    nodes = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    graph = nodes.select(*[F.col("fingerprint").alias(name) for name in ("id", "probe", "check")])
-    labels = store(components(links(graph, limit)), "labels")
-    joined = nodes.join(labels, F.col("node") == F.col("fingerprint"), "left").withColumn(
-        "component", F.coalesce("component", "fingerprint")
-    )
+    first = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    joined = store(first.join(linked(rows, limit), "fingerprint"), "components")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = store(joined.join(least, "component").select("fingerprint", "component_id"), "components")
+    named = joined.join(least, "component").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of a sample of the texts, in order, and how common they are."""
-    sample = docs.where(F.pmod(F.xxhash64(text_of()), F.lit(SAMPLE)) == 0)
-
-    def rows(texts: list[str]) -> list[list]:
-        return [np.concatenate([np.unique(shingle_hashes(words_of(text), size)) for text in texts]).astype(np.int64)]
-
-    found = (
-        map_rows(sample, [text_of()], "shingle long", rows)
-        .groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-        .orderBy(F.desc("n"), "shingle").limit(KNOWN).toArrow()
-    )
-    shingles, n = (found[c].to_numpy() for c in ("shingle", "n"))
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
-
-
-def prefix(shingles: np.ndarray, known: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles of which a set shares one with each set as similar; ``known`` ones, n times met, come last."""
-    count = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        shingles = shingles[np.lexsort((shingles, np.where(known[at] == shingles, n[at], 0)))]
-    return shingles[:count]
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (row, shingles) have the Jaccard similarity."""
-    one = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
-    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
-
-
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with their component; a row without links is one of its own."""
-    joined = rows.join(labels, F.col("node") == F.col("row"), "left")
-    return joined.withColumn("component", F.coalesce("component", "row")).drop("node")
-
-
-def near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 8, check_limit: int = 18
-) -> DataFrame:
-    """(doc_id, sha, rows, component, kept): one document of each group stays, the one with the least id.
-
-    Documents with equal id and text are one row here; ``rows`` is their number.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-
-    def marks(texts: list[str]) -> Iterator[tuple]:
-        for words in map(words_of, texts):
-            hashes = shingle_hashes(words, size)
-            shingles = np.unique(hashes.astype(np.int64))
-            yield (
-                fingerprint(shingle_hashes(list(dict.fromkeys(words)), 1)),
-                fingerprint(hashes),
-                len(shingles),
-                prefix(shingles, *model.value, similarity),
-            )
-
-    def first(rows: list, texts: list[str]) -> list[list]:
-        return [rows, *map(list, zip(*marks(texts), strict=True))]
-
-    def shingles(rows: list, texts: list[str]) -> list[list]:
-        return [rows, [np.unique(shingle_hashes(words_of(text), size)).astype(np.int64) for text in texts]]
-
-    keyed = docs.select(F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha")).alias("key"), text_of().alias("text"))
-    kind = keyed.schema["key"].dataType.simpleString()
-    marked = store(
-        map_rows(keyed, [F.col("key"), F.col("text")], f"key {kind}, probe long, check long, n int, prefix array<long>", first)
-        .groupBy("key").agg(*[F.first(c).alias(c) for c in ("probe", "check", "n", "prefix")], F.count("*").alias("rows"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "marks",
-    )
-    rows = marked.drop("n", "prefix")
-
-    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        wanted = store(rows.join(wanted, "row").select("key", F.col("row")), f"{name}-wanted")
-        texts = keyed.join(wanted, keyed["key"].eqNullSafe(wanted["key"]))
-        return store(map_rows(texts, [F.col("row"), F.col("text")], "row long, shingles array<long>", shingles), f"{name}-sets")
-
-    nodes = store(rows.groupBy("probe", "check").agg(F.min("row").alias("id")), "nodes")
-    alike = rows.join(nodes, ["probe", "check"]).where("row <> id").select(F.col("id").alias("a"), F.col("row").alias("b"))
-    candidates = store(links(nodes, limit, check_limit).unionByName(alike), "candidates")
-    sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "candidate")
-    found = store(confirmed(candidates, sets, similarity), "confirmed")
-    labels = store(components(found), "labels")
-
-    # What the links have missed: by prefix shingles that lie in more than one component.
-    placed = labelled(marked.select("row", "prefix"), labels).select("component", F.explode("prefix").alias("shingle"))
-    mixed = store(
-        placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").select("shingle"),
-        "mixed",
-    )
-    blocks = store(marked.select("row", F.explode("prefix").alias("shingle")).join(mixed, "shingle").select("shingle", "row"), "blocks")
-    facts = marked.select("row", "n", "check")
-    for last in (False, True):
-        now = store(labelled(blocks.join(facts, "row"), labels), "placed")
-        member = F.struct("row", "n", "check", "component").alias("other")
-        if last:
-            met = now.join(now.select("shingle", member), "shingle").where("row < other.row")
-        else:
-            met = now.join(now.groupBy("shingle").agg(F.min_by(member, F.xxhash64("shingle", "row")).alias("other")), "shingle")
-            met = met.where(F.bit_count(F.col("check").bitwiseXOR(F.col("other.check"))) <= check_limit)
-        low, high = F.least("n", "other.n"), F.greatest("n", "other.n")
-        pairs = (
-            met.where((F.col("component") != F.col("other.component")) & (low >= similarity * high - 1e-9))
-            .groupBy(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b"))
-            .agg(F.count("*").alias("shared"), F.first(low).alias("low"), F.first(high).alias("high"))
-        )
-        if last:
-            past = F.ceil(similarity * F.col("high") - 1e-9) - 1
-            pairs = pairs.where(F.col("shared") + past >= similarity / (1 + similarity) * (F.col("low") + F.col("high")) - 1e-9)
-        pairs = store(pairs.select("a", "b"), "pairs")
-        if not pairs.isEmpty():
-            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair")
-            found = found.unionByName(store(confirmed(pairs, sets, similarity), "more"))
-            labels = store(components(found), "labels")
-
-    joined = store(labelled(rows, labels), "joined")
-    order = F.struct(F.col("key.doc_id").isNull(), F.col("key.doc_id"), F.col("row"))
-    stays = store(joined.groupBy("component").agg(F.min_by("row", order).alias("stays")), "stays")
-    return joined.join(stays, "component").select(
-        "key.doc_id", "key.sha", "rows", "component", (F.col("row") == F.col("stays")).alias("kept")
-    )
-
-
-def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates, with its own columns."""
-    return keep_rows(docs, near_duplicates(docs, size, similarity).where("kept").select("doc_id", "sha", "rows"))
+def without_near_duplicates(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
+    """One document of each component of fingerprints, with its own columns."""
+    sha = F.sha2(text_of().cast("binary"), 256)
+    rows = store(fingerprints(docs, size, {"doc_id": F.col("doc_id"), "sha": sha}), "fingerprints")
+    counted = rows.groupBy("fingerprint", "doc_id", "sha").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "rows").alias("row")
+    stays = counted.join(linked(rows, limit), "fingerprint").groupBy("component").agg(F.min(order).alias("row"))
+    return keep_rows(docs, stays.select("row.doc_id", "row.sha", "row.rows"))

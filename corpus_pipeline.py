@@ -24,7 +24,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles of similarity 0.8 or more link."""
+    """One document of each group that SimHashes of three-word shingles within two bits link."""
     return simhash.without_near_duplicates(docs)
 
 

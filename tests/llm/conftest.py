@@ -1,6 +1,7 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, h long, ids string, part int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, h long, ids string, part int, "
+SCHEMA += "__rate double, __copy int, __rows int, __id long, __sha string, __own string, rate double, wanted string, own string"
 LONG = " ".join(f"word{k}" for k in range(30_000))
 ODD = [
     (1, None, "en", "a", None, 1, "x", 1, "i", 1),
@@ -17,6 +18,9 @@ ODD = [
 ]
 
 
+ODD = [(*row, 0.5, 2, 3, 4, "s", "o", 0.5, "w", "o") for row in ODD]
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows and ids, and columns with names that operators use."""

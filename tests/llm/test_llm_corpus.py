@@ -214,73 +214,36 @@ def test_components_of_odd_rows(spark, odd, none):
     assert Counter(r.doc_id for r in left.collect()) == Counter([1, None, 3, 3, 5, 7])
 
 
-def test_near_copies_are_caught_and_others_left(spark):
+def test_one_of_each_group_stays_by_brute_force(spark):
     rng = random.Random(8)
     words = [f"word{k}" for k in range(4000)]
-    rows, copies = [], {}
+    rows = []
     for k in range(60):
         text = rng.choices(words, k=rng.randint(60, 400))
         rows.append((k, " ".join(text)))
         for j in range(k % 4):
             changed = list(text)
-            for _ in range(max(1, len(text) // 80)):
+            for _ in range(j):
                 changed[rng.randrange(len(text))] = rng.choice(words)
             rows.append((1000 + 10 * k + j, " ".join(changed)))
-            copies[1000 + 10 * k + j] = k
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    left = {r.doc_id for r in simhash.without_near_duplicates(df).collect()}
-    assert {k for k in range(60)} <= left
-    assert len([c for c in copies if c in left]) <= 0.05 * len(copies)
-
-
-def near_groups(spark, texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {}
-    for r in simhash.near_duplicates(df).collect():
-        out.setdefault(r.component, set()).add(r.doc_id)
-    return sorted(map(sorted, out.values()))
-
-
-def brute_groups(texts):
-    """Groups that shingles of similarity 0.8 or more link, by all pairs."""
-    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
-    group = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[i] & sets[j])
-        if group[i] != group[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+    prints = [simhash.fingerprint(simhash.shingle_hashes(simhash.words_of(t), 3)) % (1 << 64) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if group[i] != group[j] and (prints[i] ^ prints[j]).bit_count() <= 2:
             group = [group[i] if g == group[j] else g for g in group]
-    return sorted(sorted(k for k, g in enumerate(group) if g == name) for name in set(group))
-
-
-def test_groups_at_the_similarity_by_brute_force(spark):
-    rng = random.Random(3)
-    words = [f"word{k}" for k in range(3000)]
-    often = [1 / (k + 1) for k in range(3000)]
-    base = rng.choices(words, often, k=300)
-    texts = []
-    for _ in range(300):
-        text = list(base)
-        for at in rng.sample(range(300), rng.randint(4, 6)):
-            text[at] = rng.choices(words, often)[0]
-        texts.append(" ".join(text))
-    assert near_groups(spark, texts) == brute_groups(texts)
+    want = {min(rows[k][0] for k, g in enumerate(group) if g == name) for name in set(group)}
+    assert 60 <= len(want) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(df).collect()} == want
 
 
-def test_edits_of_every_shape_by_brute_force(spark):
-    rng = random.Random(5)
+def test_many_documents_share_a_passage(spark):
+    rng = random.Random(9)
     words = [f"word{k}" for k in range(4000)]
-    texts = []
-    for _ in range(40):
-        base = rng.choices(words, k=300)
-        block = list(base)
-        at = rng.randrange(270)
-        block[at : at + 24] = rng.choices(words, k=24)
-        scattered = list(base)
-        for at in rng.sample(range(300), 5):
-            scattered[at] = rng.choice(words)
-        texts += [" ".join(t) for t in (base, base + rng.choices(words, k=66), block, scattered)]
-    want = brute_groups(texts)
-    assert len(want) == 40 and near_groups(spark, texts) == want
+    shared = " ".join(rng.choices(words, k=60))
+    rows = [(k, f"{' '.join(rng.choices(words, k=80))} {shared}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.without_near_duplicates(df).count() == 2000
 
 
 # Mixing
@@ -325,17 +288,12 @@ def test_pipeline_by_brute_force(spark):
     assert Counter(t for _, t in exact) == Counter({t for _, t in good})
     assert set(near) <= set(exact) and set(mixed) <= set(near)
 
-    def shingles(text):
-        words = simhash.words_of(text)
-        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-
-    sets = {k: shingles(t) for k, t in exact}
+    prints = {k: simhash.fingerprint(simhash.shingle_hashes(simhash.words_of(t), 3)) % (1 << 64) for k, t in exact}
     kept = dict(near)
-    for k, t in exact:  # what went has a neighbour of similarity 0.8 or more
-        if k not in kept:
-            assert any(len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) for j in sets if j != k)
     for a, b in itertools.combinations(kept, 2):
-        assert len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b])
+        assert (prints[a] ^ prints[b]).bit_count() > 2
+    for k in prints:  # what went is near another document
+        assert k in kept or any((prints[k] ^ prints[j]).bit_count() <= 2 for j in prints if j != k)
     from bookpulse.llm import pieces
 
     model = pieces.Model(pieces.MODEL)
@@ -348,5 +306,5 @@ def test_every_numbered_query_is_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.fullmatch(r"op\d+_.*", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
