@@ -11,11 +11,12 @@ point):
    earlier in the order has a pivot that is in the other's prefix at the place the edit leaves it.
 4. Position limits: the edit lies wholly before or wholly after that gram. If after, both words are
    the same up to the gram, which is at the same place; if before, they are the same from there on,
-   and the places differ by one at most, as the lengths do. Pivots and prefixes are joined on the gram
-   with that equal side, so only words that share both meet.
+   and the places differ by one at most, as the lengths do. The other side has but one edit, so one of
+   its halves is the same too. Pivots and prefixes are joined on the gram with that equal side and
+   half, so only words that share all three meet.
 5. Spark's ``levenshtein`` verifies what meets, in the join itself.
 
-The join is on a 64-bit number of gram, place and side; words that only share the number fail the
+The join is on a 64-bit number of these and the gram's place; words that only share the number fail the
 verification. Nothing is gathered by key, so Spark can split a key that very many words share.
 
 ``variant_counts`` counts words of texts. Null texts have none and null ids count as empty texts; a
@@ -94,9 +95,39 @@ def pivots(places: list[int], cost: list[float]) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def keys(word: str, at: int) -> tuple[int, int]:
-    """A number of the gram with all before it, and of the gram with all after it."""
-    return mark(f"<{word[: at + 2]}"), mark(f">{word[at:]}")
+def index_keys(word: str, at: int) -> list[int]:
+    """What a near word has in common with this one, if the gram stays whole: by where the edit is.
+
+    Each side is halved: an edit behind the gram leaves the first or the last half of what is there.
+    """
+    gram_end, behind = at + 2, len(word) - at
+    half = (len(word) - gram_end) // 2
+    ahead = at // 2
+    return [
+        mark(f"1 {at} {word[: gram_end + half]}"),
+        mark(f"2 {at} {word[:gram_end]} {word[gram_end + half :]}"),
+        mark(f"3 {behind} {word[ahead:]}"),
+        mark(f"4 {behind} {word[:ahead]} {word[at:]}"),
+    ]
+
+
+def probe_keys(word: str, at: int) -> set[int]:
+    """The index keys of all words one edit away in which this gram is whole, whatever their length."""
+    gram_end, behind, n = at + 2, len(word) - at, len(word)
+    out = set()
+    for longer in (-1, 0, 1):
+        rest, start = n - gram_end + longer, at + longer  # of the other word
+        if rest >= 0:
+            half = rest // 2
+            out.add(mark(f"1 {at} {word[: gram_end + half]}"))
+            if rest - half <= n - gram_end:
+                out.add(mark(f"2 {at} {word[:gram_end]} {word[n - (rest - half) :]}"))
+        if start >= 0:
+            ahead = start // 2
+            if start - ahead <= at:
+                out.add(mark(f"3 {behind} {word[at - (start - ahead) :]}"))
+            out.add(mark(f"4 {behind} {word[:ahead]} {word[at:]}"))
+    return out
 
 
 def mark(side: str) -> int:
@@ -106,15 +137,15 @@ def mark(side: str) -> int:
 
 
 def signature(word: str, rank: dict[str, int], n: list[int]) -> tuple[list[int], list[int]]:
-    """The keys of a word's pivots, and those of its prefix."""
+    """The keys by which a word's pivots are indexed, and those by which its prefix finds others."""
     own = grams(word)
     chosen: list[int] = []
     indexed: list[int] = []
     if len(own) >= PREFIX:
         places = sorted(prefix(own, rank))
         two = pivots(places, [n[rank[own[p]]] for p in places])
-        chosen = [key for p in two for key in keys(word, p)]
-        indexed = [key for p in places for key in keys(word, p)]
+        chosen = [key for p in two for key in index_keys(word, p)]
+        indexed = [key for p in places for key in probe_keys(word, p)]
     if len(word) <= SHORT:
         less = [mark(f"-{x}") for x in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}]
         chosen, indexed = chosen + less, indexed + less
@@ -147,8 +178,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     other = signed.select(F.col("word").alias("near"), F.explode("prefix_keys").alias("key"))
     apart = F.abs(F.char_length("word") - F.char_length("near")) <= 1
     met = pivot.join(other, "key").where(apart & (F.levenshtein("word", "near", 1) == 1))
-    one_way = met.select(F.least("word", "near").alias("word"), F.greatest("word", "near").alias("near")).distinct()
-    return one_way.unionByName(one_way.select(F.col("near").alias("word"), F.col("word").alias("near")))
+    pairs = met.select(F.least("word", "near").alias("a"), F.greatest("word", "near").alias("b")).distinct()
+    ways = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near")))
+    return pairs.select(F.inline(ways))
 
 
 def roots(forms: DataFrame) -> DataFrame:
