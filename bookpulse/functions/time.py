@@ -33,6 +33,10 @@ class Clock:
     def latest(cls, events: DataFrame, ts: str = "event_ts") -> Clock:
         return cls(latest=(events, ts))
 
+    def fixed_at(self) -> datetime | None:
+        """The moment of a fixed clock."""
+        return self._at
+
     def ago(self, **span: float) -> Column:
         """The moment ``timedelta(**span)`` before now."""
         delta = timedelta(**span)

@@ -5,7 +5,7 @@ No row grows with the length of a conversation or an answer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookpulse.schemas import SILENT_RESPONSE_EVENTS
@@ -21,6 +21,19 @@ def conversation_history(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.to_json(message).alias("message"))
 
 
+def history_parts(turns: DataFrame) -> DataFrame:
+    """(conv_id, position, part): parts that, joined in order of position, are a conversation's message array.
+
+    The array itself may be too long for a row. Turns are ordered by number, equal ones by message.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "message")
+    placed = conversation_history(turns).select(
+        "conv_id", "message", F.row_number().over(order).alias("position"), F.lead(F.lit(1)).over(order).isNull().alias("last")
+    )
+    opens = F.when(F.col("position") == 1, "[").otherwise(",")
+    return placed.select("conv_id", "position", F.concat(opens, "message", F.when(F.col("last"), "]").otherwise("")).alias("part"))
+
+
 def content_text(data: Column) -> Column:
     """Text carried by one logged payload, whichever of its four shapes it has."""
     payload = F.try_parse_json(data)

@@ -34,26 +34,30 @@ def explode_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
     is_array = F.ltrim(F.col(body)).startswith("[")
     requests = F.from_json(F.when(is_array, F.col(body)), T.ArrayType(T.StringType()))
     keep = [c for c in bodies.columns if c != body]
-    return (
-        bodies.select(*keep, F.posexplode_outer(requests).alias("seq", "raw"))
-        .withColumn("request", F.from_json("raw", S.REQUEST_SCHEMA))
-        .select(*keep, "seq", "request.*", "raw")
-    )
+    each = bodies.select(*keep, F.posexplode_outer(requests).alias("seq", "raw"))
+    fields = [f.name for f in S.REQUEST_SCHEMA]
+    # A generator of one row: fields read later can't have the text parsed again for each of them.
+    parsed = each.select(*keep, "seq", "raw", F.inline_outer(F.array(F.from_json("raw", S.REQUEST_SCHEMA))))
+    return parsed.select(*keep, "seq", *fields, "raw")
+
 
+def _typed(requests: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The requests, with a reason for each field of the raw request whose JSON type isn't the declared one.
 
-def _wrong_types() -> list[Column]:
-    """A reason for each field of the raw request whose JSON type isn't the declared one."""
-    parsed = F.try_parse_json("raw")
+    The text is parsed once, into a variant for each field.
+    """
+    checked = [f for f in S.REQUEST_SCHEMA if f.name != "payload"]
+    kinds = T.StructType([T.StructField(f"kind of {f.name}", T.VariantType()) for f in checked])
+    renamed = T.StructType([T.StructField(f.name, T.VariantType()) for f in checked])
+    parsed = F.inline_outer(F.array(F.from_json("raw", renamed).cast(kinds)))
     reasons = []
-    for field in S.REQUEST_SCHEMA:
-        if field.name == "payload":
-            continue
-        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field.name}", "variant"))
+    for field in checked:
+        kind = F.schema_of_variant(F.col(f"`kind of {field.name}`"))
         numeric = isinstance(field.dataType, T.DoubleType)
         right = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") if numeric else kind == "STRING"
         fits = F.coalesce(right | (kind == "VOID"), F.lit(True))  # a missing field has no kind
         reasons.append(F.when(~fits, F.lit(f"{field.name} is not a {'number' if numeric else 'string'}")))
-    return reasons
+    return requests.select("*", parsed), reasons
 
 
 def _out_of_range() -> list[Column]:
@@ -78,6 +82,7 @@ def validate(requests: DataFrame) -> DataFrame:
         parsed = F.try_parse_json("payload")
         return F.col("payload").isNull() | F.schema_of_variant(parsed).startswith("OBJECT")
 
+    typed, wrong_types = _typed(requests) if "raw" in requests.columns else (requests, [])
     problems = F.array(
         unless(F.col("event_type").isNotNull(), "missing event_type"),
         unless(
@@ -85,10 +90,11 @@ def validate(requests: DataFrame) -> DataFrame:
             "unknown event_type",
         ),
         unless(payload_ok(), "payload is not an object"),
-        *(_wrong_types() if "raw" in requests.columns else []),
+        *wrong_types,
         *_out_of_range(),
     )
-    return requests.withColumn("reasons", F.array_compact(problems))
+    # Again a generator of one row, so that a filter on the reasons and their readers share one evaluation.
+    return typed.select(*requests.columns, F.explode(F.array(F.array_compact(problems))).alias("reasons"))
 
 
 def is_accepted() -> Column:

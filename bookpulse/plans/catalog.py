@@ -469,6 +469,7 @@ QUERIES = {
         ["event_type"], ["events"], where={"event_ts": Between(b.clock.ago(hours=24), b.clock.now())}
     ),
     "conversation_history": lambda b: chat.conversation_history(b.table("conversations")),
+    "conversation_parts": lambda b: chat.history_parts(b.table("conversations")),
     "event_log_text": lambda b: chat.answer_text(b.answer_log),
     # Streams
     "stream_ingest": lambda b: jobs.run_ingest(b.spark, b.sf_dir),
@@ -484,6 +485,11 @@ QUERIES = {
     "stream_downgrades": lambda b: jobs.run_downgrades(b.spark, b.sf_dir),
     "stream_portfolio": lambda b: jobs.run_portfolio(b.spark, b.sf_dir),
     "stream_health": lambda b: jobs.run_health(b.spark, b.sf_dir),
+    "stream_snapshot_changes": lambda b: _plain_numbers(jobs.run_snapshot_changes(b.spark, b.sf_dir)),
+    "stream_state_expiry": lambda b: jobs.run_state_expiry(b.spark, b.sf_dir),
+    "stream_latency_sliding": lambda b: jobs.run_latency_sliding(b.spark, b.sf_dir),
+    "stream_observed_health": lambda b: jobs.run_observed_health(b.spark, b.sf_dir),
+    "stream_end_offsets": lambda b: jobs.run_end_offsets(b.spark, b.sf_dir),
 }
 
 

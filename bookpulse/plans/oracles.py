@@ -725,3 +725,60 @@ SELECT position_id, sector, rating AS current_rating, CAST(current_mark AS DOUBL
 FROM live
 """
 )
+
+SQL["stream_snapshot_changes"] = SQL["portfolio_live_table"]
+SQL["stream_end_offsets"] = """
+SELECT user_id AS position_id, count(*) AS rows, arg_max(event_id, (ts, event_id)) AS end_offset
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+"""
+SQL["stream_state_expiry"] = _q("""
+SELECT h.hours, count(DISTINCT position_id) AS positions,
+  count(DISTINCT position_id) FILTER (WHERE event_type = 'MARK') AS marks,
+  count(DISTINCT position_id) FILTER (WHERE event_type = 'CREDIT_EVENT') AS ratings,
+  count(DISTINCT position_id) FILTER (WHERE event_type = 'TRADE') AS trades
+FROM (SELECT unnest([0.0, 8.0, 16.0, 23.5])::DOUBLE AS hours) h
+  LEFT JOIN day ON position_id IS NOT NULL
+    AND event_ts >= (SELECT now FROM clock) + h.hours * INTERVAL 1 HOUR - INTERVAL 24 HOUR
+GROUP BY h.hours
+""")
+
+SQL["conversation_parts"] = """
+WITH messages AS (
+  SELECT conv_id, turn, '{"role":' || to_json(role) || ',"content":[{"type":"text","text":'
+    || to_json(text) || '}]}' AS message
+  FROM conversations
+), placed AS (
+  SELECT conv_id, message, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, message))::INTEGER AS position,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM messages
+)
+SELECT conv_id, position, CASE WHEN position = 1 THEN '[' ELSE ',' END || message
+  || CASE WHEN position = n THEN ']' ELSE '' END AS part
+FROM placed
+"""
+SQL["stream_observed_health"] = _q("""
+, summed AS (
+  SELECT count(*) AS rows, count(*) FILTER (WHERE event_id IS NULL OR event_ts IS NULL OR event_type IS NULL
+      OR event_type NOT IN ('TRADE', 'MARK', 'CREDIT_EVENT', 'WARMUP')) AS quarantined,
+    count(*) FILTER (WHERE event_type = 'CREDIT_EVENT') AS errors,
+    max(epoch_ms(ingested_ts) - epoch_ms(event_ts)) AS lag_ms, max(epoch_ms(event_ts)) AS newest_ms
+  FROM ev
+)
+SELECT 'ingest.' || metric AS metric, value::DOUBLE AS value
+FROM (UNPIVOT summed ON rows, quarantined, errors, lag_ms, newest_ms INTO NAME metric VALUE value)
+""")
+SQL["stream_latency_sliding"] = _q("""
+, spread AS (
+  SELECT date_trunc('minute', event_ts) - b.back * INTERVAL 1 MINUTE AS window_start,
+    epoch_ms(ingested_ts) - epoch_ms(event_ts) AS ms
+  FROM ev, (SELECT unnest([0, 1, 2, 3, 4]) AS back) b
+  WHERE ingested_ts IS NOT NULL AND event_ts IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY ms) AS r,
+    count(*) OVER (PARTITION BY window_start) AS n FROM spread
+)
+SELECT window_start, any_value(n) AS event_count,
+  min(ms) FILTER (WHERE 100 * r >= 50 * n) AS p50_ms, min(ms) FILTER (WHERE 100 * r >= 95 * n) AS p95_ms,
+  min(ms) FILTER (WHERE 100 * r >= 99 * n) AS p99_ms, true AS near_exact
+FROM placed GROUP BY window_start
+""")

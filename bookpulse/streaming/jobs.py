@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookpulse import schemas as S
 from bookpulse.functions.time import Clock
+from bookpulse.operators import sketches
 from bookpulse.operators.snapshot import portfolio_live, portfolio_table
 from bookpulse.plans import desk, questions
 from bookpulse.session import work_dir
 from bookpulse.sources import book
 from bookpulse.streaming import streams
-from bookpulse.streaming.sinks import ChangeSink, EventSink, RequestSink, SnapshotSink
+from bookpulse.streaming.keyed import LiveSnapshot, OffsetLedger
+from bookpulse.streaming.sinks import ChangeSink, EventSink, RequestSink, SketchSink, SnapshotSink, problems
 
 
 def _finish(query) -> None:
@@ -158,3 +163,80 @@ def run_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pnl_today").cast("double").alias("pnl_today"),
         "latest_event_ts",
     )
+
+
+#: Streams are fed in so many parts by event id, so that later batches bring older events.
+PARTS = 3
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    events = book.stream_events(spark, sf_dir)
+    return [events.where(F.pmod("event_id", F.lit(PARTS)) == part) for part in range(PARTS)]
+
+
+def _live_snapshot(spark: SparkSession, sf_dir: str, name: str) -> LiveSnapshot:
+    base, parts = work_dir(spark, name), _parts(spark, sf_dir)
+    live = LiveSnapshot(base, book.load_positions(spark, sf_dir), parts[0].schema)
+    for k, part in enumerate(parts):
+        _finish(streams.start(part, live, f"{base}/checkpoint-{k}"))
+    return live
+
+
+def run_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot kept by change over several batches."""
+    return _live_snapshot(spark, sf_dir, "live-snapshot").read(spark)
+
+
+#: Hours after the newest event at which the state is looked at again, without events.
+LATER = (8, 16, 23.5)
+
+
+def run_state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many positions have a live mark, rating and trade at clocks that go on without events."""
+    live = _live_snapshot(spark, sf_dir, "state-expiry")
+    newest = live.sequence.clock(spark).fixed_at()
+    none = book.load_events(spark, sf_dir).limit(0)
+    found = []
+    for hours in (0, *LATER):
+        if hours:
+            live.refresh(none, f"clock+{hours}", newest + timedelta(hours=hours))
+        kinds = live.state.read(spark).select("position_id", F.expr("transform(events, e -> e.event_type)").alias("kinds"))
+        held = {name: F.count_if(F.array_contains("kinds", kind)) for name, kind in (("marks", S.MARK), ("ratings", S.CREDIT_EVENT), ("trades", S.TRADE))}
+        counted = kinds.agg(F.lit(float(hours)).alias("hours"), F.count("*").alias("positions"), *[c.alias(n) for n, c in held.items()])
+        found.append(counted.first())  # now: the table goes on to change
+    return spark.createDataFrame(found, counted.schema)
+
+
+def run_end_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets per position over several batches."""
+    base, parts = work_dir(spark, "end-offsets"), _parts(spark, sf_dir)
+    ledger = OffsetLedger(base, parts[0].schema)
+    for k, part in enumerate(parts):
+        _finish(streams.start(part, ledger, f"{base}/checkpoint-{k}"))
+    return ledger.read(spark).select("position_id", "rows", "end_offset")
+
+
+def run_latency_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles over windows of five minutes, one each minute, from stored sketches; are they near the exact ones?"""
+    base, parts = work_dir(spark, "latency-sliding"), _parts(spark, sf_dir)
+    sink = SketchSink(f"{base}/sketches")
+    for k, part in enumerate(parts):
+        _finish(streams.start(part, sink, f"{base}/checkpoint-{k}"))
+    found = sketches.percentiles(sketches.sliding(sink.read(spark)))
+    checked = sketches.rank_errors(found, book.load_events(spark, sf_dir))
+    near = F.greatest("p50_error", "p95_error", "p99_error") <= sketches.RANK_ERROR
+    return checked.select("window_start", F.col("n").alias("event_count"), *sketches.POINTS, near.alias("near_exact"))
+
+
+def run_observed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, quarantined rows, errors and lag of all batches, from the metrics that the stream observes."""
+    base = work_dir(spark, "observed")
+    events = book.stream_events(spark, sf_dir)
+    watched = streams.observed(events, problems(), F.col("event_type") == S.CREDIT_EVENT)
+    query = streams.start_append(watched.select("event_id", "event_ts"), f"{base}/rows", f"{base}/checkpoint")
+    _finish(query)
+    points = streams.health_points(query, "ingest", spark).where(F.col("metric").startswith(f"{streams.OBSERVED}."))
+    adds = F.col("metric").isin([f"{streams.OBSERVED}.{name}" for name in streams.ADDED])
+    return points.groupBy("metric").agg(F.sum("value").alias("total"), F.max("value").alias("most")).select(
+        "metric", F.when(adds, F.col("total")).otherwise(F.col("most")).alias("value")
+    )

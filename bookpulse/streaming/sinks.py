@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from bookpulse import schemas as S
 from bookpulse.functions.time import Clock
-from bookpulse.operators import ingest
+from bookpulse.operators import ingest, sketches
 from bookpulse.operators.latest import latest_by
 from bookpulse.sources.tables import EVENT_FILES
 
@@ -260,3 +260,20 @@ class SnapshotSink:
         """The newest version."""
         version = spark.read.schema("version string").parquet(f"{self.path}/newest").first()[0]
         return spark.read.parquet(f"{self.path}/version={version}")
+
+
+class SketchSink:
+    """Sketches of every batch by minute, in folders by day. A batch that runs again replaces its own."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = sketches.minute_sketches(batch).withColumns({"day": F.col("minute").cast("date"), "batch": F.lit(batch_key(batch, batch_id))})
+        writer = rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(minute, n, sketch), one row a minute. A bound on ``minute`` should come with one on ``day``."""
+        stored = spark.read.schema("minute timestamp_ntz, n long, sketch binary, day date, batch string").parquet(self.path)
+        return sketches.merged(stored, "minute", "day")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from bookpulse import schemas as S
-from bookpulse.functions.time import Clock, hour_of, millis_between
+from bookpulse.functions.time import Clock, millis_between
 from bookpulse.operators.snapshot import state_aggregates
 
 
@@ -63,11 +63,11 @@ def live_state(state: DataFrame, clock: Clock, hours: float = 24) -> DataFrame:
     return state.where(F.col("latest_event_ts") >= bound).withColumns(fresh)
 
 
-def hourly_trades(events: DataFrame) -> DataFrame:
-    """Trades per hour. One small row of state per hour needs no watermark, so no row is late."""
-    trades = events.where(F.col("event_type") == S.TRADE)
-    return trades.groupBy(hour_of(F.col("event_ts")).alias("hour")).agg(
-        F.count("*").alias("trade_count")
+def hourly_trades(events: DataFrame, watermark: str = "7 days") -> DataFrame:
+    """Trades per hour. Hours behind the watermark leave the state; what comes that late is in the event table."""
+    counted = _windowed(events.where(F.col("event_type") == S.TRADE), watermark, "1 hour", None)
+    return counted.agg(F.count("*").alias("trade_count")).select(
+        F.col("window.start").cast("timestamp_ntz").alias("hour"), "trade_count"
     )
 
 
@@ -109,6 +109,27 @@ def latency(events: DataFrame, length: str = "5 minutes", watermark: str = "1 da
     )
 
 
+#: The name of the metrics that ``observed`` counts, and those of them that add up over batches.
+OBSERVED, ADDED = "ingest", ("rows", "quarantined", "errors")
+
+
+def observed(events: DataFrame, problems: Column, is_error: Column) -> DataFrame:
+    """The stream itself, counting as it runs by: rows, rows with problems, errors, greatest lag and newest time.
+
+    The counts of a batch come with its progress; nothing is read twice for them. A batch writer that
+    reads its batch more than once must keep it, as ``chained`` does, or it is counted each time.
+    """
+    lag = millis_between(F.col("event_ts"), F.col("ingested_ts"))
+    return events.observe(
+        OBSERVED,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.size(problems) > 0).alias("quarantined"),
+        F.count_if(is_error).alias("errors"),
+        F.max(lag).alias("lag_ms"),
+        F.max(F.unix_millis(F.col("event_ts").cast("timestamp"))).alias("newest_ms"),
+    )
+
+
 POINTS = "at string, metric string, labels map<string,string>, value double"
 
 
@@ -121,6 +142,8 @@ def points_of(progress, name: str) -> list[tuple]:
         "state_rows": sum(s.numRowsTotal for s in progress.stateOperators),
         "dropped_late_rows": sum(s.numRowsDroppedByWatermark for s in progress.stateOperators),
     }
+    for observation, row in (progress.observedMetrics or {}).items():
+        values |= {f"{observation}.{metric}": value for metric, value in row.asDict().items() if value is not None}
     return [(progress.timestamp, metric, {"query": name}, float(value)) for metric, value in values.items()]
 
 
