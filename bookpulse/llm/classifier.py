@@ -5,10 +5,11 @@ single tokens and pairs of neighbours, hashed into ``SIZE`` places; a feature's
 its count, and a text's values have length 1. A score is the logistic of one sparse dot product.
 
 Learning takes at most ``SAMPLE`` labelled documents, those whose ids have the least hashes; a
-smaller set is taken whole. They are dealt into ``SHARDS`` shards. In each of ``PASSES`` passes every
-shard runs the per-coordinate FTRL-proximal updates from the common state, example by example, and
-the changes of a coordinate are averaged over the shards that met it. The state has two numbers a
-place, whatever the input, and a pass that loses an executor is computed again to the same state.
+smaller set is taken whole. They are dealt into ``SHARDS`` shards. In each of ``ROUNDS`` rounds every
+shard runs the per-coordinate FTRL-proximal updates from the common state, example by example,
+``PASSES`` times over, and the changes of a coordinate are averaged over the shards that met it. The
+state has two numbers a place, whatever the input, and a shard that loses its executor is computed
+again to the same state.
 
 Null and empty texts have no feature and get the score of the offset alone. Null labels and null ids
 aren't learned from; if an id has several labels the highest counts, and of several texts of an id one
@@ -35,7 +36,7 @@ TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 #: Places of features; the offset has the place after them.
 SIZE = 1 << 20
 #: Labelled documents that are learned from at most, and into how many shards they are dealt.
-SAMPLE, SHARDS, PASSES = 20_000, 8, 8
+SAMPLE, SHARDS, ROUNDS, PASSES = 20_000, 4, 3, 3
 #: Token hashes a worker remembers.
 REMEMBERED = 500_000
 PAIR, AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
@@ -62,16 +63,20 @@ class Hashes(dict):
 
 
 def features(text: str, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text."""
+    """Places of a text and their counts."""
     tokens = TOKEN.findall(text)
     if not tokens:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     one = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     two = np.where(one[:-1] == one[1:], AGAIN, (one[:-1] * PAIR) ^ (one[1:] >> np.uint64(1)))
     both = np.sort((np.concatenate((one, two * PAIR)) >> np.uint64(44)).astype(np.int32))
     start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    values = 1 + np.log(np.diff(np.append(start, len(both))))
-    return both[start], (values / np.sqrt((values * values).sum())).astype(np.float32)
+    return both[start], np.diff(np.append(start, len(both))).astype(np.int32)
+
+
+def values_of(counts: np.ndarray) -> np.ndarray:
+    values = 1 + np.log(counts)
+    return values / np.sqrt((values * values).sum())
 
 
 def weights(z: np.ndarray, n: np.ndarray, rates: Rates) -> np.ndarray:
@@ -83,10 +88,10 @@ def weights(z: np.ndarray, n: np.ndarray, rates: Rates) -> np.ndarray:
 
 
 def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray, rates: Rates) -> None:
-    """Runs the updates over examples (places, values, label), in place."""
-    for places, values, label in examples:
+    """Runs the updates over examples (places, counts, label), in place."""
+    for places, counts, label in examples:
         at = np.append(places, SIZE)
-        x = np.append(values.astype(np.float64), 1.0)
+        x = np.append(values_of(counts), 1.0)
         w = weights(z[at], n[at], rates)
         p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
         g = (p - label) * x
@@ -96,7 +101,7 @@ def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n:
 
 
 def examples_of(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
-    """(shard, at, label, places, values) of at most ``sample`` documents with a label."""
+    """(shard, at, label, places, counts) of at most ``sample`` documents with a label."""
     place = F.xxhash64("doc_id", F.lit(11))
     chosen = store(known.orderBy(place, "doc_id").limit(sample), "chosen")
     # At most ``sample`` rows of an id and a label: texts without one needn't move to meet them.
@@ -110,11 +115,11 @@ def examples_of(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = map_rows(
         met, [F.col("doc_id"), F.col("text"), F.col("label")],
-        f"doc_id {kind}, label int, text_hash long, places array<int>, values array<float>", rows,
+        f"doc_id {kind}, label int, text_hash long, places array<int>, counts array<int>", rows,
     )
-    one = made.groupBy("doc_id").agg(F.min(F.struct("text_hash", "label", "places", "values")).alias("x"))
+    one = made.groupBy("doc_id").agg(F.min(F.struct("text_hash", "label", "places", "counts")).alias("x"))
     return store(
-        one.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("at"), "x.label", "x.places", "x.values"),
+        one.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("at"), "x.label", "x.places", "x.counts"),
         "examples",
     )
 
@@ -127,26 +132,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rates: Rates =
     )
     examples = examples_of(docs, known.withColumn("label", (F.col("label") > 0).cast("int")), sample)
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    schema = "place int, z double, n double"
+    schema = "place int, z float, n float"
     fields = pa_schema(spark, schema)
 
     def pass_from(state: Broadcast) -> Callable[[pa.Table], pa.Table]:
         def run(shard: pa.Table) -> pa.Table:
             rows = shard.sort_by("at")
-            columns = [rows[c].combine_chunks() for c in ("places", "values")]
+            columns = [rows[c].combine_chunks() for c in ("places", "counts")]
             flat, ends = [c.flatten().to_numpy() for c in columns], columns[0].offsets.to_numpy()
             own = [x.copy() for x in state.value]
-            learn([
-                (flat[0][a:b], flat[1][a:b], label)
-                for a, b, label in zip(ends[:-1], ends[1:], rows["label"].to_pylist(), strict=True)
-            ], *own, rates)
+            each = zip(ends[:-1], ends[1:], rows["label"].to_pylist(), strict=True)
+            learn([(flat[0][a:b], flat[1][a:b], label) for a, b, label in each] * PASSES, *own, rates)
             changed = np.flatnonzero(own[1] != state.value[1])
             out = [changed, *[(now - was)[changed] for now, was in zip(own, state.value, strict=True)]]
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
 
         return run
 
-    for _ in range(PASSES):
+    for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
         changes = examples.groupBy("shard").applyInArrow(pass_from(state), schema)
         # At most SIZE + 1 rows come back.
@@ -166,8 +169,8 @@ def score(docs: DataFrame, learned: np.ndarray, keep: list[Column]) -> DataFrame
     def rows(*columns: list) -> list[list]:
         w, memory, out = model.value, Hashes(), []
         for text in columns[-1]:
-            places, values = features(text, memory)
-            raw = float(w[places].astype(np.float64) @ values) + float(w[SIZE])
+            places, counts = features(text, memory)
+            raw = float(w[places].astype(np.float64) @ values_of(counts)) + float(w[SIZE])
             out.append(1 / (1 + float(np.exp(-np.clip(raw, -35, 35)))))
         return [*columns[:-1], out]
 

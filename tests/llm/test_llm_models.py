@@ -17,7 +17,8 @@ from bookpulse.llm import classifier, negatives, queries, spelling, sql
 
 def test_features_by_definition():
     text = "Ab ab, ab ab"
-    places, values = classifier.features(text, classifier.Hashes())
+    places, counts = classifier.features(text, classifier.Hashes())
+    values = classifier.values_of(counts)
     assert len(places) == len(set(places.tolist())) and (np.diff(places) > 0).all()
     # Ab, ab (3 times), the comma; the pairs Ab ab, ab comma, comma ab, ab ab.
     assert len(places) == 7 and float(values @ values) == pytest.approx(1)
@@ -35,8 +36,8 @@ def test_updates_by_brute_force():
     examples = []
     for _ in range(80):
         places = sorted(rng.sample(range(12), rng.randint(0, 5)))
-        values = np.array([rng.random() for _ in places], np.float32)
-        examples.append((np.array(places, np.int32), values, rng.randint(0, 1)))
+        counts = np.array([rng.randint(1, 9) for _ in places], np.int32)
+        examples.append((np.array(places, np.int32), counts, rng.randint(0, 1)))
     z, n = np.zeros(classifier.SIZE + 1), np.zeros(classifier.SIZE + 1)
     classifier.learn(examples, z, n, rates)
     zs, ns = Counter(), Counter()
@@ -47,8 +48,9 @@ def test_updates_by_brute_force():
             return 0.0
         return -(zs[i] - (l1 if zs[i] > 0 else -l1)) / ((rates.beta + ns[i] ** 0.5) / rates.alpha + l2)
 
-    for places, values, label in examples:
-        x = {**dict(zip(places.tolist(), values.astype(float).tolist())), classifier.SIZE: 1.0}
+    for places, counts, label in examples:
+        tf = [1 + np.log(c) for c in counts.tolist()]
+        x = {p: v / sum(t * t for t in tf) ** 0.5 for p, v in zip(places.tolist(), tf)} | {classifier.SIZE: 1.0}
         w = {i: weight(i) for i in x}
         p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
         for i, v in x.items():
