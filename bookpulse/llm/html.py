@@ -2,20 +2,25 @@
 
 The parser's events become lines: the text of a block with the number of tags met in it. The ratio
 of text to tags of each line is smoothed with a Gaussian kernel and split in two clusters by a
-threshold. The lines above it are seeds. The content is all article and main elements, nested ones as
-part of the outermost, or without any the smallest element with most of the seeds' text. All its lines are kept
-but those in elements that are something else by name: menus, headers, footers, sidebars, notices,
+threshold. The lines above it are seeds, and they choose the region: the article and main elements that hold
+seeds, nested ones as part of the outermost, if most of the seeds' text is in such elements; otherwise
+the smallest element with most of it. An article without seeds beside a chosen one, under the same
+parent, belongs to it unless it is mostly links, as teasers are. All lines of the region are kept but
+those in elements that are something else by name: menus, headers, footers, sidebars, notices,
 adverts, forms, comments. Short lines inside the region stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 a line feed in page order. Null and empty pages, and pages without text, give an empty text.
-Unclosed, crossing and unknown tags are tolerated. Every page is judged alone.
+Unclosed, crossing and unknown tags are tolerated. Every page is judged alone, so repeated rows get
+equal texts; pages of any length and depth are read whole, in time that grows with their length. Extra
+columns are not looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -50,31 +55,39 @@ REACH, SIGMA = 2, 1.0
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "region")
+    """A block's text: its tags, how much of it is in links, its innermost holder and outermost region."""
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], region: int):
-        self.text, self.tags, self.path, self.region = text, tags, path, region
+    __slots__ = ("text", "tags", "linked", "holder", "region")
+
+    def __init__(self, text: str, tags: int, linked: int, holder: int, region: int):
+        self.text, self.tags, self.linked, self.holder, self.region = text, tags, linked, holder, region
 
 
 class Events(HTMLParser):
-    """Turns parser events into lines; ``stack`` has (name, number, is something else) of open elements."""
+    """Turns parser events into lines; ``stack`` has (name, number, is something else) of open elements.
+
+    ``parents`` has the holder around each holder and region, by numbers; an inner one has a greater number.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []
+        self.open: Counter[str] = Counter()
+        self.holders, self.regions = [0], []
+        self.parents: dict[int, int] = {}
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.number = 0
-        self.silent = self.other = self.regions = 0
+        self.tags = self.number = self.linked = 0
+        self.silent = self.other = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text and not self.other:
-            region = next((n for name, n, _ in self.stack if name in REGIONS), -1)
-            path = tuple(n for name, n, _ in self.stack if name in HOLDERS)
-            self.lines.append(Line(text, self.tags, path, region))
+            region = self.regions[0] if self.regions else -1
+            self.lines.append(Line(text, self.tags, self.linked, self.holders[-1], region))
         if text or self.parts:
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def is_other(self, name: str, attributes: list[tuple[str, str | None]]) -> bool:
@@ -92,10 +105,14 @@ class Events(HTMLParser):
         return False
 
     def pop(self) -> None:
-        name, _, other = self.stack.pop()
+        name, number, other = self.stack.pop()
+        self.open[name] -= 1
         self.other -= other
         self.silent -= name in SILENT
-        self.regions -= name in REGIONS
+        if name in HOLDERS:
+            self.holders.pop()
+        if name in REGIONS:
+            self.regions.pop()
 
     def close(self) -> None:
         super().close()
@@ -113,9 +130,14 @@ class Events(HTMLParser):
             other = self.is_other(tag, attrs)
             self.number += 1
             self.stack.append((tag, self.number, other))
+            self.open[tag] += 1
             self.other += other
             self.silent += tag in SILENT
-            self.regions += tag in REGIONS
+            if tag in HOLDERS:
+                self.parents[self.number] = self.holders[-1]
+                self.holders.append(self.number)
+            if tag in REGIONS:
+                self.regions.append(self.number)
 
     def imply_end(self, tag: str) -> None:
         """Closes an open ``tag`` unless another block holds it open."""
@@ -132,7 +154,7 @@ class Events(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        if any(name == tag for name, _, _ in self.stack):
+        if self.open[tag]:
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -140,6 +162,8 @@ class Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
 
 
 BELL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
@@ -169,34 +193,60 @@ def threshold(values: list[float]) -> float:
     return border
 
 
-def content(lines: list[Line]) -> list[str]:
-    """The texts of the region that the lines of high ratio lie in."""
-    if not lines:
-        return []
-    if any(line.region >= 0 for line in lines):
-        return [line.text for line in lines if line.region >= 0]
+def seeds_of(lines: list[Line]) -> list[Line]:
+    """The lines in the cluster of high ratios."""
     ratios = smoothed([len(line.text) / max(1, line.tags) for line in lines])
     border = threshold(ratios)
-    seeds = [line for line, ratio in zip(lines, ratios, strict=True) if ratio >= border] or lines
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
+    return [line for line, ratio in zip(lines, ratios, strict=True) if ratio >= border] or lines
+
+
+def chosen_regions(lines: list[Line], seeds: list[Line], parents: dict[int, int]) -> set[int]:
+    """The regions that are content, none if most of the seeds' text lies elsewhere."""
+    held = sum(len(line.text) for line in seeds if line.region >= 0)
+    if 2 * held < sum(len(line.text) for line in seeds):
+        return set()
+    chosen = {line.region for line in seeds if line.region >= 0}
+    beside = {parents[region] for region in chosen}
+    text: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    for line in lines:
+        text[line.region] += len(line.text)
+        linked[line.region] += line.linked
+    return chosen | {r for r in text if r >= 0 and parents[r] in beside and 2 * linked[r] < text[r]}
+
+
+def deepest_holder(seeds: list[Line], parents: dict[int, int]) -> int:
+    """The smallest element with most of the seeds' text; 0, the page, has all of it."""
+    weight: Counter[int] = Counter()
     for line in seeds:
-        for level, element in enumerate(line.path):
-            weight[element] = weight.get(element, 0) + len(line.text)
-            depth[element] = level
-    enough = 0.8 * sum(len(line.text) for line in seeds)
-    holders = [element for element in weight if weight[element] >= enough]
-    if not holders:
-        return [line.text for line in lines]
-    deepest = max(holders, key=lambda element: depth[element])
-    return [line.text for line in lines if deepest in line.path]
+        weight[line.holder] += len(line.text)
+    enough = 0.8 * sum(weight.values())
+    for element in sorted(parents, reverse=True):  # inner ones first
+        weight[parents[element]] += weight[element]
+    return max((element for element in weight if weight[element] >= enough), default=0)
+
+
+def content(lines: list[Line], parents: dict[int, int]) -> list[str]:
+    """The texts of the region that the lines of high ratio lie in."""
+    if not lines:
+        return []
+    seeds = seeds_of(lines)
+    regions = chosen_regions(lines, seeds, parents)
+    if regions:
+        return [line.text for line in lines if line.region in regions]
+    holder = deepest_holder(seeds, parents)
+    inside = {holder}
+    for element in sorted(parents):  # outer ones first
+        if parents[element] in inside:
+            inside.add(element)
+    return [line.text for line in lines if line.holder in inside]
 
 
 def main_text(page: str) -> str:
     events = Events()
     events.feed(page)
     events.close()
-    return "\n".join(content(events.lines))
+    return "\n".join(content(events.lines, events.parents))
 
 
 def extract(pages: DataFrame) -> DataFrame:

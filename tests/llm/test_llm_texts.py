@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +136,41 @@ def test_nested_and_several_articles():
     assert html.main_text(several).split("\n") == [long.strip(), long.strip(), *["Note", "Brief."] * 2]
 
 
+def test_the_seeds_choose_the_region():
+    long = "A sentence of the story that goes on and on for a good while, as they do. " * 5
+    story = f"<div id='story'><h1>Head</h1><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    card = f"<body><article class='card'><p>See also</p></article>{story}</body>"
+    assert html.main_text(card).split("\n") == ["Head", *[long.strip()] * 3]
+    teaser = "<article><h3><a href='/x'>Another title</a></h3><p>Brief.</p></article>"
+    page = f"<body><article><h1>Head</h1><p>{long}</p><p>{long}</p></article><section><h2>More stories</h2>{teaser * 5}</section></body>"
+    assert html.main_text(page).split("\n") == ["Head", *[long.strip()] * 2]
+    beside = page.replace("<section><h2>More stories</h2>", "").replace("</section>", "")
+    assert html.main_text(beside).split("\n") == ["Head", *[long.strip()] * 2]
+
+
+def test_smoothing_and_threshold_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        ratios = [rng.choice([rng.uniform(0, 8), rng.uniform(60, 200)]) for _ in range(rng.randint(1, 30))]
+        bell = {d: math.exp(-d * d / 2) for d in range(-2, 3)}
+        want = []
+        for k in range(len(ratios)):
+            near = [(bell[d], ratios[k + d]) for d in bell if 0 <= k + d < len(ratios)]
+            want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        assert html.smoothed(ratios) == pytest.approx(want)
+        border = html.threshold(ratios)
+        low, high = [r for r in ratios if r < border], [r for r in ratios if r >= border]
+        if low and high:  # it rests in the middle of both means
+            assert border == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2, rel=1e-6)
+
+
+def test_deep_pages_take_time_by_their_length():
+    deep = "<div>" * 30_000 + "<p>" + "deep text " * 20 + "</p>" + "<p>x</p>" * 3_000 + "</b>" * 30_000
+    start = time.perf_counter()
+    assert html.main_text(deep).startswith("deep text")
+    assert time.perf_counter() - start < 20
+
+
 def test_pages_of_every_kind(spark):
     pages = spark.createDataFrame(
         [(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", "<p>" * 20000 + "deep"), (3, "u", "<p>a</p></div></b><i>b")],
