@@ -4,8 +4,8 @@ The parser's events become lines: the text of a block with the number of tags me
 of text to tags of each line is smoothed with a Gaussian kernel and split in two clusters by a
 threshold. The lines above it are seeds, and they choose the region: the article and main elements that hold
 seeds, nested ones as part of the outermost, if most of the seeds' text is in such elements; otherwise
-the smallest element with most of it. An article without seeds beside a chosen one, under the same
-parent, belongs to it unless it is mostly links, as teasers are. All lines of the region are kept but
+the smallest element with most of it. An article without seeds beside one with them, under the same
+parent, belongs to it. But for the one with most seeds, none is taken that is mostly links, as teasers are. All lines of the region are kept but
 those in elements that are something else by name: menus, headers, footers, sidebars, notices,
 adverts, forms, comments. Short lines inside the region stay.
 
@@ -202,17 +202,21 @@ def seeds_of(lines: list[Line]) -> list[Line]:
 
 def chosen_regions(lines: list[Line], seeds: list[Line], parents: dict[int, int]) -> set[int]:
     """The regions that are content, none if most of the seeds' text lies elsewhere."""
-    held = sum(len(line.text) for line in seeds if line.region >= 0)
-    if 2 * held < sum(len(line.text) for line in seeds):
+    held: Counter[int] = Counter()
+    for line in seeds:
+        held[line.region] += len(line.text)
+    if 2 * held[-1] > sum(held.values()):
         return set()
-    chosen = {line.region for line in seeds if line.region >= 0}
-    beside = {parents[region] for region in chosen}
+    del held[-1]
+    most = max(held, key=lambda region: held[region])
     text: Counter[int] = Counter()
     linked: Counter[int] = Counter()
     for line in lines:
         text[line.region] += len(line.text)
         linked[line.region] += line.linked
-    return chosen | {r for r in text if r >= 0 and parents[r] in beside and 2 * linked[r] < text[r]}
+    beside = {parents[region] for region in held}
+    said = {r for r in text if r >= 0 and 2 * linked[r] < text[r]}
+    return {most} | {r for r in said if r in held or parents[r] in beside}
 
 
 def deepest_holder(seeds: list[Line], parents: dict[int, int]) -> int:
