@@ -6,15 +6,18 @@ frequent sequences are compared with each profile by how far each is out of plac
 the profile lacks counts as the profile's length. The language with the least distance is predicted.
 
 Sequences are integers: three code points of 21 bits. Ties in frequency are ordered by that integer,
-ties in distance by the language's name. Counts cover whole texts; a profile has ``PROFILE`` entries
-and ``LANGUAGES`` bounds their number, so what the tasks get is bounded (more languages are refused).
+ties in distance by the language's name. Counts cover whole texts, however long; a profile has
+``PROFILE`` entries. What the tasks get are the profiles' postings, ``PROFILE`` a language: a text
+meets only the postings of its own sequences, so any number of languages can be told apart.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing could be
-learned. Null languages are not learned from. Repeated rows count as often as they occur.
+learned. Null languages are not learned from. Repeated rows count as often as they occur. Extra columns
+are not looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 from bookpulse.llm.common import map_rows, pa_schema, store, text_of
 
 PROFILE = 400
-LANGUAGES = 2_000
 UNKNOWN = "und"
 
 
@@ -116,41 +118,58 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     counts = labelled.mapInArrow(run, schema).groupBy("lang", "sequence").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "sequence"))
     top = store(counts.withColumn("place", place).where(F.col("place") <= size), "profiles")
-    n = top.select("lang").distinct().count()
-    if n > LANGUAGES:
-        raise ValueError(f"{n} languages; at most {LANGUAGES} can be told apart")
-    found = top.orderBy("lang", "place").toArrow().to_pydict()  # at most LANGUAGES * size rows
-    langs, values = np.array(found["lang"], object), np.array(found["sequence"], np.int64)
-    return {lang: values[langs == lang] for lang in dict.fromkeys(found["lang"])}
-
-
-def closest(text: str, vocabulary: np.ndarray, places: np.ndarray, size: int) -> tuple[int, float]:
+    found = top.orderBy("lang", "place").toArrow().to_pydict()  # ``size`` rows a language
+    values = np.array(found["sequence"], np.int64)
+    ends = np.cumsum(list(Counter(found["lang"]).values()))  # in order of languages
+    return dict(zip(dict.fromkeys(found["lang"]), np.split(values, ends[:-1]), strict=True)) if len(values) else {}
+
+
+class Postings:
+    """For each sequence of any profile, the languages that have it and its places there."""
+
+    def __init__(self, learned: dict[str, np.ndarray]):
+        self.names = sorted(learned)
+        own = [learned[name] for name in self.names]
+        sequence = np.concatenate([np.empty(0, np.int64), *own])
+        lang = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype(np.int32)
+        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in own)]).astype(np.int32)
+        order = np.argsort(sequence, kind="stable")
+        self.lang, self.place = lang[order], place[order]
+        self.sequences, self.start = np.unique(sequence[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(sequence)))
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, places there, and places in ``wanted`` of all its sequences that profiles have."""
+        at = np.searchsorted(self.sequences, wanted)
+        at[at == len(self.sequences)] = 0
+        known = np.flatnonzero(self.sequences[at] == wanted)
+        count = self.count[at[known]]
+        ahead = np.cumsum(count) - count
+        row = np.repeat(self.start[at[known]] - ahead, count) + np.arange(count.sum())
+        return self.lang[row], self.place[row], np.repeat(known, count)
+
+
+def closest(text: str, postings: Postings, size: int) -> tuple[int, float]:
     """The profile nearest to a text and one less the distance's part of the greatest; -1 if none."""
     own = ranked(text, size)
-    if not len(own) or not len(places):
+    if not len(own) or not len(postings.sequences):
         return -1, 0.0
-    at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
-    where = places[:, at]
-    known = (vocabulary[at] == own) & (where >= 0)
-    distance = np.where(known, np.abs(where - np.arange(len(own))), size).sum(axis=1)
+    lang, there, here = postings.of(own)
+    most = size * len(own)
+    distance = most - np.bincount(lang, size - np.abs(there - here), len(postings.names))
     best = int(np.argmin(distance))
-    return best, 1.0 - float(distance[best]) / (size * len(own))
+    return best, 1.0 - float(distance[best]) / most
 
 
 def detect(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[Column] | None = None, size: int = PROFILE) -> DataFrame:
     """The kept columns (``doc_id`` if none are named) with lang_pred and score for every document."""
     keep = keep or [F.col("doc_id")]
-    names = sorted(learned)
-    vocabulary = np.unique(np.concatenate([learned[n] for n in names])) if names else np.empty(0, np.int64)
-    places = np.full((len(names), len(vocabulary)), -1, np.int64)
-    for k, name in enumerate(names):
-        places[k, np.searchsorted(vocabulary, learned[name])] = np.arange(len(learned[name]))
-    model = docs.sparkSession.sparkContext.broadcast((names, vocabulary, places))
+    model = docs.sparkSession.sparkContext.broadcast(Postings(learned))
 
     def rows(*columns: list) -> list[list]:
-        known, values, where = model.value
-        found = [closest(text, values, where, size) for text in columns[-1]]
-        said = [known[k] if k >= 0 else UNKNOWN for k, _ in found]
+        postings = model.value
+        found = [closest(text, postings, size) for text in columns[-1]]
+        said = [postings.names[k] if k >= 0 else UNKNOWN for k, _ in found]
         return [*columns[:-1], said, [score for _, score in found]]
 
     kept = docs.select(*keep).schema

@@ -96,6 +96,32 @@ def test_ranks_by_brute_force():
     assert got == count
 
 
+def test_out_of_place_distances_by_brute_force():
+    rng = random.Random(4)
+    size = 20
+    learned = {f"l{k:04d}": np.array(rng.sample(range(60), rng.randint(1, size)), np.int64) + ord("a") for k in range(40)}
+    postings = langid.Postings(learned)
+    for _ in range(50):
+        text = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 40)))
+        own = langid.ranked(text, size).tolist()
+        distance = {}
+        for name, profile in learned.items():
+            places = {s: k for k, s in enumerate(profile.tolist())}
+            distance[name] = sum(abs(places[s] - k) if s in places else size for k, s in enumerate(own))
+        want = min(distance, key=lambda name: (distance[name], name))
+        got, score = langid.closest(text, postings, size)
+        assert postings.names[got] == want and score == 1 - distance[want] / (size * len(own))
+
+
+def test_thousands_of_languages(spark):
+    rows = [(k, f"lang{k:05d}", " ".join(chr(0x4E00 + 7 * k + j) * 2 for j in range(5))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = langid.profiles(docs.select("lang", "text"))
+    assert len(learned) == 3000
+    said = langid.detect(docs, learned, [F.col("lang")])
+    assert said.where("lang <> lang_pred").count() == 0
+
+
 def test_language_of_odd_rows(spark, odd, none):
     learned = langid.profiles(odd.select("lang", "text"))
     assert set(learned) == {"en", "de"}
