@@ -761,7 +761,7 @@ SQL["stream_observed_health"] = _q("""
   SELECT count(*) AS rows, count(*) FILTER (WHERE event_id IS NULL OR event_ts IS NULL OR event_type IS NULL
       OR event_type NOT IN ('TRADE', 'MARK', 'CREDIT_EVENT', 'WARMUP')) AS quarantined,
     count(*) FILTER (WHERE event_type = 'CREDIT_EVENT') AS errors,
-    max(epoch_ms(ingested_ts) - epoch_ms(event_ts)) AS lag_ms, max(epoch_ms(event_ts)) AS newest_ms
+    max(epoch_us(ingested_ts) // 1000 - epoch_us(event_ts) // 1000) AS lag_ms, max(epoch_us(event_ts) // 1000) AS newest_ms
   FROM ev
 )
 SELECT 'ingest.' || metric AS metric, value::DOUBLE AS value
