@@ -1,30 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Two models share one backoff. A word's probability in a class is its discounted count there, over all
-words of the class, plus the shared mass times the word's share of continuation counts: in how many
-left neighbours it has been met in either class (estimated from 64 kinds of them, by hash). The discount is the same
-share of both classes and grows with their documents, so a word as frequent in both, however rare,
-tells nothing, and a word neither has seen backs off alike. A document's words count once in it.
+A document is the set of its words, so that a line repeated in it isn't new evidence. Two models share
+one backoff. A word's probability in a class is its document count there less the class's discount,
+over all counts of the class, plus the discounted mass times the word's share of continuation counts:
+after how many different words (or at the start) it has been met in either class. The discounts come
+from the counts of counts, n1 / (n1 + 2 n2), for each class.
 
 A document's raw score is the log-likelihood of its words under the toxic model less that under the
-ordinary one, per word. Words whose ratio is below ``CLEAR`` count as alike: the differences of
-languages and subjects between the classes are of that size. A logistic curve over raw scores, fitted
-on labelled documents that the counts leave out, gives the score.
-
-Counts cover every labelled document of the training part and stay distributed. The tasks get the
-clear words only, in a table of 2**22 cells by hash, so its size is fixed.
-
-Null and empty texts, and texts without a letter or digit, have raw score 0. Null labels are not
-learned from; if an id has several labels, the highest counts. Without both classes every score is
-the share of toxic labels (0 without labels). Repeated rows are scored alike; in training they count
-as often as they occur.
+ordinary one, per word. Each word's log ratio is first moved towards zero by ``SURE`` standard errors
+of the ratio of its two counts: differences of language and subject between the classes, which few
+documents show, are mostly chance. A word that neither class has seen tells nothing. A logistic curve
+over raw scores, fitted on labelled documents that the counts leave out, gives the score.
+
+Counts, continuation pairs and ratios cover every labelled document of the training part and grow with
+them; words go by 64-bit hashes. Up to ``TABLE`` ratios are sent to the tasks; beyond that the words of
+documents are joined with them. Ratios are whole millionths, so both ways give the same sums.
+
+Null and empty texts, and texts without a letter or digit, have raw score 0. Texts of any length are
+read whole, and counted pair by pair. Null labels are not learned from; if an id has several labels,
+the highest counts. Without both classes every score is the share of toxic labels (0 without labels).
+Repeated rows are scored alike; in training they count as often as they occur. Equal raw scores get
+equal scores. Without documents there are no rows. Only doc_id, text and the kept columns are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,16 @@ from pyspark.sql import functions as F
 from bookpulse.llm.common import map_rows, pa_schema, store, text_of
 
 WORD = re.compile(r"[^\W_]+")
-#: Kinds of left neighbours, by hash; bits of a long.
-KINDS = 64
-#: The discount of the toxic class, in documents: one in so many of its documents, but at least LEAST.
-ONE_IN, LEAST = 80, 2.0
+#: Standard errors that a log ratio gives up: the one-sided bound of 95%.
+SURE = 1.645
 #: Alike words added to every document, so that a single word doesn't decide a short one.
 ALIKE = 15
-CLEAR = 1.5
-CELLS = 1 << 22
+#: Log ratios are kept in whole parts of one in so many.
+PARTS = 1_000_000
+#: Up to so many ratios (16 bytes each) are sent to the tasks.
+TABLE = 1_000_000
+#: Pairs of words that a task gathers before it hands them on.
+GATHERED = 100_000
 ID_BITS = 1 << 24
 #: Raw scores are bent so that short texts, whose scores are large, don't rule the curve; then cut in steps.
 UNIT, STEPS, STEP = 0.005, 500, 0.02
@@ -54,12 +59,6 @@ def key(word: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def bit_of(word: str) -> int:
-    """The kind of a left neighbour, as one bit of a signed integer."""
-    bit = 1 << (xxhash.xxh32_intdigest(word) & 63)
-    return bit - (1 << 64) if bit >> 63 else bit
-
-
 def among(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that may have a label: those whose id's bit is set in a map of fixed size.
 
@@ -88,91 +87,135 @@ def among(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def counts(train: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary, kinds) from rows of (text, toxic)."""
-    schema = "word long, toxic long, ordinary long, kinds long"
+    """(word, toxic, ordinary, lefts) from rows of (text, toxic): documents by class, and different words before it."""
+    schema = "word long, before long, toxic long, ordinary long"
     fields = pa_schema(train.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[int]] = {}
+        pairs: set[tuple[int, int]] = set()
+        known: dict[str, int] = {}
+
+        def gathered() -> pa.RecordBatch:
+            words, lefts = [*seen], [*pairs]
+            none = [0] * len(lefts)
+            columns = (
+                words + [word for _, word in lefts],
+                [None] * len(words) + [left for left, _ in lefts],
+                [n[0] for n in seen.values()] + none,
+                [n[1] for n in seen.values()] + none,
+            )
+            seen.clear(), pairs.clear(), known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=fields)
+
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            bits: dict[str, int] = {}
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = WORD.findall(text.lower())
-                for word in set(words):
-                    seen.setdefault(word, [0, 0, 0])[0 if toxic else 1] += 1
-                for left, word in zip(chain([""], words), words, strict=False):
-                    bit = bits.get(left)
-                    if bit is None:
-                        bit = bits[left] = bit_of(left)
-                    seen[word][2] |= bit
-            if seen:
-                found = [[key(word) for word in seen], *map(list, zip(*seen.values(), strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=fields)
-
-    return train.select("text", "toxic").mapInArrow(run, schema).groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("kinds").alias("kinds")
+                left, of_text = key(""), set()
+                for match in WORD.finditer(text.lower()):
+                    word = known.get(match[0])
+                    if word is None:
+                        word = known[match[0]] = key(match[0])
+                    of_text.add(word)
+                    pairs.add((left, word))
+                    left = word
+                    if len(pairs) >= GATHERED:
+                        yield gathered()
+                for word in of_text:
+                    seen.setdefault(word, [0, 0])[0 if toxic else 1] += 1
+        yield gathered()
+
+    found = train.select("text", "toxic").mapInArrow(run, schema)
+    pairs = found.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return pairs.groupBy("word").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("before").alias("lefts")
     )
 
 
-def continuations() -> Column:
-    """In how many left neighbours a word has been met: from the share of kinds seen, or its count once all are."""
-    seen = F.bit_count("kinds")
-    guess = -KINDS * F.log(1 - seen / KINDS)
-    return F.when(seen < KINDS, guess).otherwise(F.greatest(F.col("toxic") + F.col("ordinary"), F.lit(KINDS)).cast("double"))
+def discount(ones: int, twos: int) -> float:
+    """What Kneser-Ney takes from every count; one half where the counts of counts don't say."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
-def clear_words(counted: DataFrame, documents: int) -> np.ndarray:
-    """The log ratio of both models for each cell of words; 0 where they are alike.
+def ratios(counted: DataFrame) -> DataFrame:
+    """(word, part): the bounded log ratio of both models in whole parts, for the words where it isn't 0."""
+    of_class = [
+        f(c).alias(f"{c}_{name}")
+        for c in ("toxic", "ordinary")
+        for name, f in (
+            ("all", F.sum),
+            ("types", lambda c: F.count_if(F.col(c) > 0)),
+            ("ones", lambda c: F.count_if(F.col(c) == 1)),
+            ("twos", lambda c: F.count_if(F.col(c) == 2)),
+        )
+    ]
+    n = counted.agg(*of_class, F.sum("lefts").alias("lefts")).first()
+    if not n.toxic_all or not n.ordinary_all:
+        return counted.select("word", F.lit(0).cast("long").alias("part")).where("false")
+    shared = F.col("lefts") / n.lefts
+
+    def chance(c: str) -> Column:
+        off = discount(n[f"{c}_ones"], n[f"{c}_twos"])
+        freed = off * n[f"{c}_types"] / n[f"{c}_all"]
+        return F.greatest(F.col(c) - off, F.lit(0.0)) / n[f"{c}_all"] + shared * freed
+
+    ratio = F.log(chance("toxic") / chance("ordinary"))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
+    bounded = F.signum(ratio) * F.greatest(F.abs(ratio) - SURE * error, F.lit(0.0))
+    return counted.select("word", F.round(bounded * PARTS).cast("long").alias("part")).where("part <> 0")
 
-    ``documents`` is the number of toxic documents counted.
-    """
-    table = np.zeros(CELLS, np.float32)
-    n = counted.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"), F.sum(continuations()).alias("k")).first()
-    if not n.t or not n.o:
-        return table
-    off_toxic = max(LEAST, documents / ONE_IN)
-    off_ordinary = off_toxic * n.o / n.t
-    taken = counted.agg(
-        F.sum(F.least("toxic", F.lit(off_toxic)) + F.least("ordinary", F.lit(off_ordinary))).alias("mass")
-    ).first()
-    shared = continuations() * (taken.mass / (n.t + n.o) / n.k)
-    toxic = F.greatest(F.col("toxic") - off_toxic, F.lit(0.0)) / n.t + shared
-    ordinary = F.greatest(F.col("ordinary") - off_ordinary, F.lit(0.0)) / n.o + shared
-    ratio = F.log(toxic / ordinary)
-    cells = (
-        counted.withColumn("ratio", ratio)
-        .where(F.abs("ratio") > CLEAR)
-        .groupBy(F.col("word").bitwiseAND(F.lit(CELLS - 1)).alias("cell"))
-        .agg(F.max_by("ratio", F.struct(F.col("toxic") + F.col("ordinary"), F.col("word"))).alias("ratio"))
-        .toArrow()
-    )
-    table[cells["cell"].to_numpy()] = cells["ratio"].to_numpy()
-    return table
 
+def raw_scores(docs: DataFrame, model: DataFrame, keep: list[Column]) -> DataFrame:
+    """The kept columns and the difference of log-likelihoods per word, by a written table of ratios."""
+    small = model.count() <= TABLE
+    return (by_table if small else by_join)(docs, model, keep)
 
-def raw_scores(docs: DataFrame, table: np.ndarray, keep: list[Column]) -> DataFrame:
-    """The kept columns and the difference of log-likelihoods per word."""
-    model = docs.sparkSession.sparkContext.broadcast(table)
-    kept = docs.select(*keep).schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+def kinds_of(docs: DataFrame, keep: list[Column]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+
+def per_word(total: int, words: int) -> float:
+    return total / PARTS / (ALIKE + words)
+
+
+def by_table(docs: DataFrame, model: DataFrame, keep: list[Column]) -> DataFrame:
+    """Raw scores with all ratios in every task."""
+    found = model.toArrow()
+    words = found["word"].to_numpy()
+    order = np.argsort(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words[order], found["part"].to_numpy()[order]))
 
     def rows(*columns: list) -> list[list]:
-        ratios, known = model.value, {}
-        out = []
+        names, parts = shared.value
+        out: list[float] = []
         for text in columns[-1]:
-            words = set(WORD.findall(text.lower()))
-            total = 0.0
-            for word in words:
-                ratio = known.get(word)
-                if ratio is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    ratio = known[word] = float(ratios[xxhash.xxh64_intdigest(word) & (CELLS - 1)])
-                total += ratio
-            out.append(total / (ALIKE + len(words)))
+            words = {*WORD.findall(text.lower())}
+            total = 0
+            if words and len(names):
+                keys = np.fromiter(map(key, words), np.int64, len(words))
+                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+                total = int(parts[at][names[at] == keys].sum())
+            out.append(per_word(total, len(words)))
         return [*columns[:-1], out]
 
-    return map_rows(docs, [*keep, text_of()], f"{kinds}, raw double", rows)
+    return map_rows(docs, [*keep, text_of()], f"{kinds_of(docs, keep)}, raw double", rows)
+
+
+def by_join(docs: DataFrame, model: DataFrame, keep: list[Column]) -> DataFrame:
+    """Raw scores by a join of each document's words with the ratios; a document's row is written first."""
+
+    def rows(*columns: list) -> list[list]:
+        return [*columns[:-1], [[*map(key, {*WORD.findall(text.lower())})] for text in columns[-1]]]
+
+    kept = [F.struct(*keep).alias("kept")]
+    listed = map_rows(docs, [*kept, text_of()], f"{kinds_of(docs, kept)}, words array<long>", rows)
+    listed = store(listed.withColumn("row", F.monotonically_increasing_id()), "words-of-rows")
+    totals = (
+        listed.select("row", F.explode("words").alias("word")).join(model, "word")
+        .groupBy("row").agg(F.sum("part").alias("total"))
+    )
+    mean = F.coalesce("total", F.lit(0)) / F.lit(float(PARTS)) / (ALIKE + F.size("words"))
+    return listed.join(totals, "row", "left").select("kept.*", mean.alias("raw"))
 
 
 def logistic(x: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> tuple[float, float]:
@@ -201,7 +244,8 @@ def score(docs: DataFrame, labels: DataFrame, fold: Column, count_folds: tuple[i
     )
     train = known.where(fold.isin(*count_folds))
     counted = store(counts(among(docs, train).join(train, "doc_id")), "word-counts")
-    raw = store(raw_scores(docs, clear_words(counted, train.where("toxic").count()), [F.col("doc_id").alias("__id"), *keep]), "raw-scores")
+    model = store(ratios(counted), "word-ratios")
+    raw = store(raw_scores(docs, model, [F.col("doc_id").alias("__id"), *keep]), "raw-scores")
     bent = F.asinh(F.col("raw") / UNIT)
     step = F.round(bent / STEP).cast("int")
     fitted = (

@@ -111,6 +111,61 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.score(d.limit(0), y, queries.fold(4), (0, 1), (3,), [F.col("doc_id")]).count() == 0
 
 
+def test_toxic_ratios_by_brute_force(spark, odd, none, monkeypatch):
+    rng = random.Random(8)
+    names = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choices(names, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 40))), k % 5 == 0) for k in range(200)]
+    docs = [(k, text + " Foul" * (toxic and k % 2), toxic) for k, text, toxic in docs]
+    seen, lefts = (Counter(), Counter()), {}
+    for _, text, toxic in docs:
+        words = re.findall("[a-z0-9]+", text.lower())
+        seen[not toxic].update(set(words))
+        for left, word in zip(["", *words], words, strict=False):
+            lefts.setdefault(word, set()).add(left)
+    pairs = sum(map(len, lefts.values()))
+
+    def chance(word, count):
+        ones, twos = (sum(n == k for n in count.values()) for k in (1, 2))
+        off = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(count[word] - off, 0) + off * len(count) * len(lefts[word]) / pairs) / count.total()
+
+    want = {}
+    for word in lefts:
+        ratio = np.log(chance(word, seen[0]) / chance(word, seen[1]))
+        error = (1 / (seen[0][word] + 0.5) + 1 / (seen[1][word] + 0.5)) ** 0.5
+        part = round(max(abs(ratio) - 1.645 * error, 0) * 1e6) * (1 if ratio > 0 else -1)
+        want |= {word: part} if part else {}
+    monkeypatch.setattr(toxicity, "GATHERED", 50)
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic boolean").repartition(3)
+    counted = store(toxicity.counts(df), "test-counts")
+    assert {(r.word, r.toxic, r.ordinary, r.lefts) for r in counted.collect()} == {
+        (toxicity.key(w), seen[0][w], seen[1][w], len(lefts[w])) for w in lefts
+    }
+    model = store(toxicity.ratios(counted), "test-ratios")
+    assert want["foul"] > 0 and len(want) > 3
+    got = {r.word: r.part for r in model.collect()}
+    assert got.keys() == {toxicity.key(w) for w in want}
+    assert all(abs(got[toxicity.key(w)] - part) <= 1 for w, part in want.items())
+    for rows in (df, odd, none):
+        by_table, by_join = (
+            sorted((r.doc_id is None, r.doc_id or 0, r.raw) for r in way(rows, model, [F.col("doc_id")]).collect())
+            for way in (toxicity.by_table, toxicity.by_join)
+        )
+        assert by_table == by_join and len(by_table) == rows.count()
+    scores = {r.doc_id: r.raw for r in toxicity.raw_scores(df, model, [F.col("doc_id")]).collect()}
+    for k, text, _ in docs:
+        words = set(text.lower().split())
+        assert abs(scores[k] - sum(want.get(w, 0) for w in words) / 1e6 / (15 + len(words))) < 1e-5
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    y = spark.createDataFrame([(k, k % 2) for k in range(1, 8)], "doc_id long, toxic int")
+    keep = [F.col("doc_id")]
+    rows = toxicity.score(odd, y, queries.fold(4), (0, 1), (3,), keep).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(none, y, queries.fold(4), (0, 1), (3,), keep).count() == 0
+
+
 # Exact duplicates
 
 @pytest.mark.parametrize("collide", [False, True])
