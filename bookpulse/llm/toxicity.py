@@ -8,8 +8,8 @@ from the counts of counts, n1 / (n1 + 2 n2), for each class.
 
 A document's raw score is the log-likelihood of its words under the toxic model less that under the
 ordinary one, per word. Each word's log ratio is first moved towards zero by ``SURE`` standard errors
-of the ratio of its two counts: differences of language and subject between the classes, which few
-documents show, are mostly chance. A word that neither class has seen tells nothing. A logistic curve
+of the ratio of its two counts. Documents come in languages, subjects and near copies, so that counts
+vary more than chance: ``SPREAD`` is the variance a ratio keeps however many documents there are. A word that neither class has seen tells nothing. A logistic curve
 over raw scores, fitted on labelled documents that the counts leave out, gives the score.
 
 Counts, continuation pairs and ratios cover every labelled document of the training part and grow with
@@ -19,7 +19,7 @@ documents are joined with them. Ratios are whole millionths, so both ways give t
 Null and empty texts, and texts without a letter or digit, have raw score 0. Texts of any length are
 read whole, and counted pair by pair. Null labels are not learned from; if an id has several labels,
 the highest counts. Without both classes every score is the share of toxic labels (0 without labels).
-Repeated rows are scored alike; in training they count as often as they occur. Equal raw scores get
+Repeated rows are scored alike; of equal texts of one class the counts learn once. Equal raw scores get
 equal scores. Without documents there are no rows. Only doc_id, text and the kept columns are read, so
 other columns may have any names.
 """
@@ -40,6 +40,7 @@ from bookpulse.llm.common import map_rows, pa_schema, store, text_of
 WORD = re.compile(r"[^\W_]+")
 #: Standard errors that a log ratio gives up: the one-sided bound of 95%.
 SURE = 1.645
+SPREAD = 0.3
 #: Alike words added to every document, so that a single word doesn't decide a short one.
 ALIKE = 15
 #: Log ratios are kept in whole parts of one in so many.
@@ -87,7 +88,7 @@ def among(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def counts(train: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary, lefts) from rows of (text, toxic): documents by class, and different words before it."""
+    """(word, toxic, ordinary, lefts) from rows of (text, toxic): different texts by class, and different words before it."""
     schema = "word long, before long, toxic long, ordinary long"
     fields = pa_schema(train.sparkSession, schema)
 
@@ -124,7 +125,7 @@ def counts(train: DataFrame) -> DataFrame:
                     seen.setdefault(word, [0, 0])[0 if toxic else 1] += 1
         yield gathered()
 
-    found = train.select("text", "toxic").mapInArrow(run, schema)
+    found = train.select("text", "toxic").distinct().mapInArrow(run, schema)
     pairs = found.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     return pairs.groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("before").alias("lefts")
@@ -159,7 +160,7 @@ def ratios(counted: DataFrame) -> DataFrame:
         return F.greatest(F.col(c) - off, F.lit(0.0)) / n[f"{c}_all"] + shared * freed
 
     ratio = F.log(chance("toxic") / chance("ordinary"))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5) + SPREAD)
     bounded = F.signum(ratio) * F.greatest(F.abs(ratio) - SURE * error, F.lit(0.0))
     return counted.select("word", F.round(bounded * PARTS).cast("long").alias("part")).where("part <> 0")
 

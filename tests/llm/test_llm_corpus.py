@@ -117,7 +117,7 @@ def test_toxic_ratios_by_brute_force(spark, odd, none, monkeypatch):
     docs = [(k, " ".join(rng.choices(names, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 40))), k % 5 == 0) for k in range(200)]
     docs = [(k, text + " Foul" * (toxic and k % 2), toxic) for k, text, toxic in docs]
     seen, lefts = (Counter(), Counter()), {}
-    for _, text, toxic in docs:
+    for text, toxic in {(text, toxic) for _, text, toxic in docs}:
         words = re.findall("[a-z0-9]+", text.lower())
         seen[not toxic].update(set(words))
         for left, word in zip(["", *words], words, strict=False):
@@ -132,7 +132,7 @@ def test_toxic_ratios_by_brute_force(spark, odd, none, monkeypatch):
     want = {}
     for word in lefts:
         ratio = np.log(chance(word, seen[0]) / chance(word, seen[1]))
-        error = (1 / (seen[0][word] + 0.5) + 1 / (seen[1][word] + 0.5)) ** 0.5
+        error = (1 / (seen[0][word] + 0.5) + 1 / (seen[1][word] + 0.5) + 0.3) ** 0.5
         part = round(max(abs(ratio) - 1.645 * error, 0) * 1e6) * (1 if ratio > 0 else -1)
         want |= {word: part} if part else {}
     monkeypatch.setattr(toxicity, "GATHERED", 50)
@@ -142,7 +142,7 @@ def test_toxic_ratios_by_brute_force(spark, odd, none, monkeypatch):
         (toxicity.key(w), seen[0][w], seen[1][w], len(lefts[w])) for w in lefts
     }
     model = store(toxicity.ratios(counted), "test-ratios")
-    assert want["foul"] > 0 and len(want) > 3
+    assert want["foul"] > 0 and len(want) > 1
     got = {r.word: r.part for r in model.collect()}
     assert got.keys() == {toxicity.key(w) for w in want}
     assert all(abs(got[toxicity.key(w)] - part) <= 1 for w, part in want.items())
