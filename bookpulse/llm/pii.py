@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base matches of four kinds (email, ip, card, phone) are checked and make the seeds. Identifier-like
-strings (runs of words with a digit or ``@``, trimmed of punctuation, with ``@`` or at least
-``DIGITS`` digits, up to ``LONGEST`` characters) are the instances, and the words around them the
-patterns: the two words before, and the word before with the word after.
+strings (a word with a digit or ``@``, or the groups of digits of one number, trimmed of punctuation,
+with ``@`` or at least ``DIGITS`` digits) are the instances, and the words around them in the text the
+patterns: the two words before, and the word before with the word after, digits in them alike. Instances
+have any length; those over ``LONGEST`` characters go by their digest in the graph.
 
 Patterns and instances score each other over all documents. A pattern's score for a kind is the sum of
 its instances' scores over their number plus ``DOUBT``; it counts from ``SUPPORT`` seeds' worth. An
@@ -18,12 +19,15 @@ Positions are code points. They come from the lengths of what lies between match
 ``regexp_extract_all`` find the same matches. The patterns are written with possessive loops, which
 find what the plain ones find, but neither recurse nor go back in long texts.
 
-Null and empty texts have no spans. Rows with equal or null ids are documents of their own. Only the
+Null and empty texts have no spans, and an empty table no rows. An instance as well known in two kinds is
+of the kind last in the alphabet. Only doc_id and text are read, so other columns may have any names. Rows with equal or null ids are documents of their own. Only the
 context is cut (to ``AROUND`` characters on either side); matches are over whole texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 REGEX = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 TOKEN = r"[^\s0-9@]*+[0-9@]\S*+"
-RUN = rf"(?<!\S){TOKEN}(?:\x20{TOKEN})*+"
+#: Where a group of digits ends: before a blank or the end, or before the punctuation of a sentence.
+ENDED = r"(?=[.,;:!?]*+(?!\S))"
+NUMBER = rf"[+(]*+[0-9][0-9()]*+{ENDED}(?:\x20[0-9()]++{ENDED})*+"
+RUN = rf"(?<!\S)(?:{NUMBER}|{TOKEN})"
 
 LONGEST, DIGITS, AROUND = 64, 5, 64
 DOUBT, SUPPORT, ROUNDS, TRUSTED, ACCEPT = 2.0, 5.0, 3, 0.6, 0.8
@@ -87,11 +94,32 @@ def may_have(kind: str, text: Column) -> Column:
 
 
 def matches(kind: str, regex: str, text: Column) -> Column:
-    """The matches with the length of what lies before each, and for runs the words around."""
+    """The matches with the length of what lies before each, and for instances the text around."""
     between, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     empty = F.array().cast("array<string>")
-    left = F.transform(between, lambda x: F.lower(F.right(x, F.lit(AROUND)))) if kind == "run" else empty
-    right = F.transform(between, lambda x: F.lower(F.left(x, F.lit(AROUND)))) if kind == "run" else empty
+    none = F.array(F.lit(""))
+
+    def near(one: Column, side: Callable) -> Column:
+        return side(F.coalesce(one, F.lit("")), F.lit(AROUND))
+
+    def alike(words: Column) -> Column:
+        return F.regexp_replace(F.lower(words), "[0-9]++", "0")
+
+    def before(x: Column) -> Column:
+        """The end of what precedes a match: its gap, and the two matches before, which hold two words at least."""
+        return alike(F.right(F.concat(*[near(x[c], F.right) for c in ("found2", "gap1", "found1", "gap")]), F.lit(AROUND)))
+
+    def after(x: Column) -> Column:
+        """The beginning of what follows a match: the gap after it and the next match."""
+        return alike(F.left(F.concat(near(x["gap"], F.left), near(x["found"], F.left)), F.lit(AROUND)))
+
+    # Neighbours come by shifted arrays: a lambda that named the arrays would match again for each element.
+    beside = F.arrays_zip(
+        between.alias("gap"), found.alias("found"), F.concat(none, between).alias("gap1"),
+        F.concat(none, found).alias("found1"), F.concat(none, none, found).alias("found2"),
+    )
+    left = F.transform(beside, before) if kind == "run" else empty
+    right = F.transform(beside, after) if kind == "run" else empty
     made = F.struct(
         F.lit(kind).alias("kind"),
         F.transform(between, lambda x: F.length(x)).alias("gaps"),
@@ -147,9 +175,9 @@ def kind_of(value: Column) -> Column:
 def instances(placed: DataFrame) -> DataFrame:
     """Identifier-like strings (row, start, end, value, seed, patterns) among the runs."""
     lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z@+(]*+", 0))
-    bare = F.regexp_replace(F.substring(F.col("value"), lead + 1, F.lit(LONGEST)), "(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
+    bare = F.regexp_replace(F.substring(F.col("value"), lead + 1, F.length("value")), "(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
     trimmed = (
-        placed.where(F.col("kind") == "run").where(F.length("value") <= LONGEST)
+        placed.where(F.col("kind") == "run")
         .withColumn("start", F.col("start") + lead)
         .withColumn("core", bare)
         .where(F.contains("core", F.lit("@")) | (F.length(digits(F.col("core"))) >= DIGITS))
@@ -162,8 +190,9 @@ def instances(placed: DataFrame) -> DataFrame:
         F.when(two != "", F.concat(F.lit("2 "), two)),
         F.when((one != "") & (after != ""), F.concat_ws(" ", F.lit("1"), one, F.lit("_"), after)),
     ))
+    name = F.when(F.length("core") > LONGEST, F.sha2(F.lower("core").cast("binary"), 256)).otherwise(F.lower("core"))
     return trimmed.select(
-        "row", "start", (F.col("start") + F.length("core")).alias("end"), F.lower("core").alias("value"),
+        "row", "start", (F.col("start") + F.length("core")).alias("end"), name.alias("value"),
         kind_of(F.col("core")).alias("seed"), patterns.alias("patterns"),
     )
 

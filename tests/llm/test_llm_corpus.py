@@ -84,6 +84,50 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[42].spans == ""
 
 
+def test_instances_within_long_runs(spark):
+    many = " ".join(f"id{k}77123@host" for k in range(8))
+    texts = [f"contact address email me at {many}", "paid 4111 1111 1111 1111. 4471-882-19 2024-05-01", "key " + "9f" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.instances(pii.occurrences(df)[1]).collect()
+    cores = sorted(texts[k][r.start : r.end] for r in found for k in range(3) if r.row == rows_of(df)[k])
+    want = [*many.split(" "), "4111 1111 1111 1111", "4471-882-19", "2024-05-01", "9f" * 5000]
+    assert cores == sorted(want)
+    of = {r.value: r.patterns for r in found}
+    assert of["id077123@host"] == ["2 me at", "1 at _ id0@host"]
+    assert of["id377123@host"] == ["2 id0@host id0@host", "1 id0@host _ id0@host"]
+    assert of["2024-05-01"] == ["2 1111. 0-0-0".replace("1111", "0")]
+
+
+def rows_of(df):
+    return [r[0] for r in df.select(F.monotonically_increasing_id()).collect()]
+
+
+def test_scores_of_the_graph_by_brute_force(spark):
+    rng = random.Random(3)
+    found = []
+    for k in range(400):
+        seed = "ip" if rng.random() < 0.5 else None
+        found.append((rng.sample([f"p{i}" for i in range(4 if seed else 12)], 2), f"{seed}{k % 90}", seed))
+    df = spark.createDataFrame(found, "patterns array<string>, value string, seed string")
+    pairs = {(p, v) for ps, v, _ in found for p in ps}
+    seeds = {v for _, v, seed in found if seed}
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for p in {p for p, _ in pairs}:
+            of = [v for q, v in pairs if q == p]
+            worth = sum(score.get(v, 0) for v in of)
+            if worth >= pii.SUPPORT and worth / (len(of) + pii.DOUBT) >= pii.TRUSTED:
+                trust[p] = worth / (len(of) + pii.DOUBT)
+        score = dict.fromkeys(seeds, 1.0)
+        for v in {v for _, v in pairs} - seeds:
+            met = [1 - trust[p] for p, w in pairs if w == v and p in trust]
+            if met:
+                score[v] = 1 - np.prod(met)
+    want = {v for v, s in score.items() if v not in seeds and s >= pii.ACCEPT}
+    assert {(r.value, r.kind) for r in pii.discovered(df).collect()} == {(v, "ip") for v in want}
+
+
 # Toxicity
 
 def test_toxic_words_are_learned(spark):
