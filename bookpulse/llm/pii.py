@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base matches of four kinds (email, ip, card, phone) are checked and make the seeds. Identifier-like
-strings (a word with a digit or ``@``, or the groups of digits of one number, trimmed of punctuation,
-with ``@`` or at least ``DIGITS`` digits) are the instances, and the words around them in the text the
-patterns: the two words before, and the word before with the word after, digits in them alike. Instances
-have any length; those over ``LONGEST`` characters go by their digest in the graph.
+Base matches of four kinds (email, ip, card, phone) are checked; those that pass are the seeds. Beside
+them, identifier-like strings that meet no seed in the text (a word with a digit or ``@``, or the groups of
+digits of one number, trimmed of punctuation, with ``@`` or at least ``DIGITS`` digits) are the other
+instances. The words around an instance in the text are its patterns: the two words before, and the word
+before with the word after, digits in them alike. Instances have any length; those over ``LONGEST``
+characters go by their digest in the graph.
 
 Patterns and instances score each other over all documents. A pattern's score for a kind is the sum of
 its instances' scores over their number plus ``DOUBT``; it counts from ``SUPPORT`` seeds' worth. An
@@ -21,7 +22,8 @@ find what the plain ones find, but neither recurse nor go back in long texts.
 
 Null and empty texts have no spans, and an empty table no rows. An instance as well known in two kinds is
 of the kind last in the alphabet. Only doc_id and text are read, so other columns may have any names. Rows with equal or null ids are documents of their own. Only the
-context is cut (to ``AROUND`` characters on either side); matches are over whole texts.
+context is cut (to ``AROUND`` characters on either side); matches are over whole texts. Matches of one document
+are put in order by a window over that document, which spills.
 """
 
 from __future__ import annotations
@@ -94,9 +96,8 @@ def may_have(kind: str, text: Column) -> Column:
 
 
 def matches(kind: str, regex: str, text: Column) -> Column:
-    """The matches with the length of what lies before each, and for instances the text around."""
+    """The matches with the length of what lies before each, and the text around."""
     between, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    empty = F.array().cast("array<string>")
     none = F.array(F.lit(""))
 
     def near(one: Column, side: Callable) -> Column:
@@ -118,14 +119,12 @@ def matches(kind: str, regex: str, text: Column) -> Column:
         between.alias("gap"), found.alias("found"), F.concat(none, between).alias("gap1"),
         F.concat(none, found).alias("found1"), F.concat(none, none, found).alias("found2"),
     )
-    left = F.transform(beside, before) if kind == "run" else empty
-    right = F.transform(beside, after) if kind == "run" else empty
     made = F.struct(
         F.lit(kind).alias("kind"),
         F.transform(between, lambda x: F.length(x)).alias("gaps"),
         found.alias("values"),
-        left.alias("left"),
-        right.alias("right"),
+        F.transform(beside, before).alias("left"),
+        F.transform(beside, after).alias("right"),
     )
     return F.when(may_have(kind, text), made)
 
@@ -163,24 +162,28 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scanned.select("row", "doc_id"), placed
 
 
-def kind_of(value: Column) -> Column:
-    """The kind of the first valid base match in a string, if there is any."""
-
-    def has(kind: str) -> Column:
-        return F.exists(F.regexp_extract_all(value, F.lit(REGEX[kind]), F.lit(0)), lambda match: valid(kind, match))
-
-    return F.coalesce(*[F.when(has(kind), kind) for kind in ("email", "phone", "ip", "card")])
+def passed() -> Column:
+    """Whether a match is a base match of its kind."""
+    return F.coalesce(*[F.when(F.col("kind") == kind, valid(kind, F.col("value"))) for kind in KINDS], F.lit(False))
 
 
 def instances(placed: DataFrame) -> DataFrame:
-    """Identifier-like strings (row, start, end, value, seed, patterns) among the runs."""
+    """Seeds and identifier-like strings (row, start, end, value, seed, patterns); ``seed`` is null in the latter."""
     lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z@+(]*+", 0))
     bare = F.regexp_replace(F.substring(F.col("value"), lead + 1, F.length("value")), "(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
+    run = F.col("kind") == "run"
+    seed = F.when(~run, F.col("kind"))
+    ordered = Window.partitionBy("row").orderBy("start")
+    reached = F.max(F.when(~run, F.col("end"))).over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(~run, F.col("start"))).over(ordered.rangeBetween(0, Window.unboundedFollowing))
     trimmed = (
-        placed.where(F.col("kind") == "run")
-        .withColumn("start", F.col("start") + lead)
-        .withColumn("core", bare)
-        .where(F.contains("core", F.lit("@")) | (F.length(digits(F.col("core"))) >= DIGITS))
+        placed.where(run | passed())
+        .withColumn("core", F.when(run, bare).otherwise(F.col("value")))
+        .withColumn("start", F.when(run, F.col("start") + lead).otherwise(F.col("start")))
+        .withColumn("end", F.col("start") + F.length("core"))
+        .where(~run | F.contains("core", F.lit("@")) | (F.length(digits(F.col("core"))) >= DIGITS))
+        .withColumn("met", run & (F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))))
+        .where("not met")
     )
     word = r"(\S++)\s*+$"
     one = F.regexp_extract("before", word, 1)
@@ -191,10 +194,7 @@ def instances(placed: DataFrame) -> DataFrame:
         F.when((one != "") & (after != ""), F.concat_ws(" ", F.lit("1"), one, F.lit("_"), after)),
     ))
     name = F.when(F.length("core") > LONGEST, F.sha2(F.lower("core").cast("binary"), 256)).otherwise(F.lower("core"))
-    return trimmed.select(
-        "row", "start", (F.col("start") + F.length("core")).alias("end"), name.alias("value"),
-        kind_of(F.col("core")).alias("seed"), patterns.alias("patterns"),
-    )
+    return trimmed.select("row", "start", "end", name.alias("value"), seed.alias("seed"), patterns.alias("patterns"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
@@ -239,8 +239,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows, placed = occurrences(docs)
     placed = store(placed, "placed")
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    passed = F.coalesce(*[F.when(F.col("kind") == kind, valid(kind, F.col("value"))) for kind in KINDS])
-    base = placed.where(F.col("kind") != "run").where(passed).select("row", "start", "end", "kind", F.lit(True).alias("base"))
+    base = placed.where(F.col("kind") != "run").where(passed()).select("row", "start", "end", "kind", F.lit(True).alias("base"))
     found = store(instances(placed), "instances")
     more = found.where("seed is null").join(discovered(found), "value").select(
         "row", "start", "end", "kind", F.lit(False).alias("base")

@@ -98,6 +98,22 @@ def test_instances_within_long_runs(spark):
     assert of["2024-05-01"] == ["2 1111. 0-0-0".replace("1111", "0")]
 
 
+def test_seeds_are_whole_base_matches(spark):
+    """A number of several groups is one seed; its parts are no instances of their own, and teach its context."""
+    rng = random.Random(9)
+    texts = [f"Please call us on +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} today." for _ in range(30)]
+    texts += ["Please call us on 0800-77-12345 today.", "Part 0800-77-99999 is out of stock.", "mail <x.y@z.org>, or see 10.0.0.1:8080123"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.instances(pii.occurrences(df)[1]).collect()
+    seeds = sorted(r.value for r in found if r.seed == "phone")
+    assert seeds == sorted(t[18:-7] for t in texts[:30])
+    assert {r.value for r in found if r.seed is None} == {"0800-77-12345", "0800-77-99999"}
+    assert {r.value: r.patterns for r in found}["0800-77-12345"] == ["2 us on", "1 on _ today."]
+    assert {r.seed for r in found if r.value in ("x.y@z.org", "10.0.0.1")} == {"email", "ip"}
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert got[30] == "phone:18:31" and got[31] == "" and got[0] == base_spans(texts[0])
+
+
 def rows_of(df):
     return [r[0] for r in df.select(F.monotonically_increasing_id()).collect()]
 
