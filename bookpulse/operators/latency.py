@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookpulse.functions.money import rounded
 from bookpulse.functions.text import event_label
 from bookpulse.operators.joins import join_groups
-from bookpulse.operators.latest import NEWEST, retain_newest
+from bookpulse.operators.latest import numbered, retain_newest
 from bookpulse.operators.ranks import upper_median, values_at_ranks
 
 STEPS = {
@@ -47,8 +47,7 @@ def segments(traces: DataFrame, session: str, history: int | None = None) -> Dat
     With ``history``, only the newest so many events of a session, as a chart shows them.
     """
     if history is None:
-        place = F.row_number().over(Window.partitionBy(session).orderBy(*NEWEST))
-        kept = attribute(traces).withColumn("seq", place)
+        kept = numbered(attribute(traces), [session])
     else:
         kept = retain_newest(attribute(traces), [session], history)
     labelled = kept.select(

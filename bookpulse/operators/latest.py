@@ -59,3 +59,18 @@ def pick_random(df: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFrame
     """A seeded sample of n rows, the same on every run and retry."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return df.withColumn("draw", draw).orderBy("draw", key).limit(n)
+
+
+def numbered(df: DataFrame, keys: list[str], order: tuple[str, ...] = NEWEST) -> DataFrame:
+    """Every row with ``seq``, its place in its series, oldest first; order starts with a time.
+
+    Rows are numbered within a day, and each day begins after the rows of the days before, so a
+    series that holds much of the table is ranked a day at a time by as many tasks.
+    """
+    dated = df.withColumn("_day", F.col(order[0]).cast("date"))
+    days = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select(*keys, "_day", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order))
+    found = join_groups(dated.withColumn("_place", place), starts, [*keys, "_day"])
+    return found.withColumn("seq", F.col("_start") + F.col("_place")).drop("_day", "_start", "_place")

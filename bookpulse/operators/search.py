@@ -82,6 +82,17 @@ def search_table(
         return first.select(ident, F.explode("some.gram").alias("gram"))
 
     pairs = rarest(asked, query_key, "_asked").join(rarest(names, key, "_grams"), "gram").select(query_key, key).distinct()
+    return ranked(pairs, asked, names, on, key, query_key, query, attributes, least, max_results)
+
+
+def ranked(
+    pairs: DataFrame, asked: DataFrame, names: DataFrame, on: str, key: str, query_key: str, query: str,
+    attributes: tuple[str, ...], least: float, max_results: int,
+) -> DataFrame:
+    """Candidate pairs scored; the best of each query, of similarity ``least`` or more.
+
+    ``asked`` has the queries with _text and _asked, ``names`` the names with _grams.
+    """
     scored = (
         pairs.join(asked, query_key).join(names, key)
         .select(

@@ -15,8 +15,10 @@ from bookpulse.operators.latest import latest_by, pick_random, retain_newest
 from bookpulse.operators.snapshot import portfolio_live, portfolio_table, portfolio_view
 from bookpulse.plans import desk, questions
 from bookpulse.plans.model import BOOK, Between, query_model
-from bookpulse.sources import book, tables
+from bookpulse.session import work_dir
+from bookpulse.sources import book, stored, tables
 from bookpulse.streaming import jobs
+from bookpulse.streaming.names import NameIndex
 
 
 class Book:
@@ -185,7 +187,7 @@ def _merge_insert_only(b: Book) -> DataFrame:
     return upsert.merge_insert_only(target, source, "position_id")
 
 
-def _merge_upsert(b: Book) -> DataFrame:
+def _settings(b: Book) -> tuple[DataFrame, DataFrame]:
     """Customer balances as settings; the latest order of each customer overwrites its value."""
     target = b.table("customer").select(
         F.col("c_custkey").alias("key"),
@@ -199,6 +201,11 @@ def _merge_upsert(b: Book) -> DataFrame:
         "o_orderkey",
     )
     source = latest_by(orders, ["key"], ["value"], order=("o_orderdate", "o_orderkey"))
+    return target, source
+
+
+def _merge_upsert(b: Book) -> DataFrame:
+    target, source = _settings(b)
     return upsert.merge_upsert(target, source, "key", b.clock.now())
 
 
@@ -364,6 +371,74 @@ def _fuzzy_search_table(b: Book) -> DataFrame:
     return search.search_table(catalog, queries)
 
 
+def _search_index(b: Book) -> DataFrame:
+    """The same from an index kept by change: names come in parts, some are wrong at first, some leave."""
+    catalog = b.table("part").select(F.col("p_partkey").alias("position_id"), F.col("p_name").alias("issuer"))
+    part = F.pmod("position_id", F.lit(3))
+    wrong = catalog.where(part == 1).withColumn("issuer", F.reverse("issuer"))
+    passing = catalog.where(part == 1).withColumn("position_id", -F.col("position_id"))
+    index = NameIndex(work_dir(b.spark, "search-index"), kind=catalog.schema["position_id"].dataType.simpleString(), compact=2)
+    index.change(catalog.where(part == 0).unionByName(wrong).unionByName(passing), "first")
+    index.change(catalog.where(part == 1), "second")
+    leaving = passing.withColumn("gone", F.lit(True))
+    index.change(catalog.where(part == 2).withColumn("gone", F.lit(False)).unionByName(leaving), "third")
+    queries = catalog.where("position_id % 100 = 0").select(F.col("position_id").alias("query_id"), F.col("issuer").alias("query"))
+    return index.search(queries)
+
+
+def _stored_upsert(b: Book) -> DataFrame:
+    """The settings of customers as a stored table: orders are merged in, one value is changed, the nations are added."""
+    target, source = _settings(b)
+    settings = stored.StoredTable(work_dir(b.spark, "settings"), "key", target.schema)
+    settings.create(target)
+    settings.upsert(source, b.clock.now())
+    settings.update_where(F.col("value") == "1-URGENT", {"value": F.lit("now")})
+    nations = b.table("nation").select((-1 - F.col("n_nationkey")).alias("key"), F.col("n_name").alias("value"), b.clock.now().alias("updated"))
+    settings.insert_only(nations.unionByName(target))
+    return settings.read(b.spark)
+
+
+def _column_profile_stored(b: Book) -> DataFrame:
+    """Frequent values from the stored sketches of days, and whether their distinct counts are near the exact ones."""
+    path = work_dir(b.spark, "profile")
+    profile.day_sketches(b.events, F.col("event_ts").cast("date"), PROFILED).write.parquet(path)
+    merged = profile.merged_profile(b.spark.read.parquet(path))
+    exact = b.events.select(*[F.col(c).cast("string").alias(c) for c in PROFILED]).unpivot([], PROFILED, "column_name", "value")
+    exact = exact.groupBy("column_name").agg(F.count_distinct("value").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")
+    checked = merged.join(exact, "column_name").select("column_name", "rows", "nulls", near.alias("near_exact"))
+    return profile.frequent_values(merged).join(checked, "column_name")
+
+
+def _stored(b: Book) -> DataFrame:
+    return b.events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.EVENT_SCHEMA])
+
+
+def _event_table(b: Book) -> DataFrame:
+    """The event table by day, written in three parts; its closed days are compacted before it is read."""
+    path = work_dir(b.spark, "event-table")
+    events = _stored(b).where("event_ts is not null")
+    for k in range(3):
+        tables.write_events(events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), path)
+    tables.compact_days(b.spark, path, F.current_date())
+    return tables.read_events(b.spark, path).groupBy("event_date", "event_type").agg(
+        F.count("*").alias("events"),
+        F.sum(F.col("event_id").cast("long")).alias("ids"),
+        F.count_distinct("_metadata.file_path").alias("files"),
+    )
+
+
+def _interleaved_events(b: Book) -> DataFrame:
+    """The events of one position, of one hour and of both, from files in interleaved order."""
+    path = work_dir(b.spark, "interleaved")
+    tables.write_interleaved(_stored(b).select("event_id", "event_ts", "position_id"), path, ["position_id", "event_ts"], files=16)
+    rows = b.spark.read.parquet(path)
+    one, hour = F.col("position_id") == "7", F.col("event_ts") >= b.clock.ago(hours=1)
+    found = {"position": one, "hour": hour, "both": one & hour}
+    asked = [rows.where(test).agg(F.lit(name).alias("asked"), F.count("*").alias("events"), F.max(F.col("event_id").cast("long")).alias("last")) for name, test in found.items()]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
 def _metric_summary(b: Book) -> DataFrame:
     asked = [("purchase",), ("click",), ("error",), ("signup",), ("view",), ("missing",)]
     metrics = tables.literal_rows(b.spark, asked, "metric string")
@@ -468,6 +543,12 @@ QUERIES = {
     "model_recent_by_type": lambda b: b.model(
         ["event_type"], ["events"], where={"event_ts": Between(b.clock.ago(hours=24), b.clock.now())}
     ),
+    "search_index": _search_index,
+    "stored_upsert": _stored_upsert,
+    "column_profile_stored": _column_profile_stored,
+    "event_table": _event_table,
+    "interleaved_events": _interleaved_events,
+    "model_checked_keys": lambda b: b.model(["fund"], ["trades", "traded_qty"], check_keys=True),
     "conversation_history": lambda b: chat.conversation_history(b.table("conversations")),
     "conversation_parts": lambda b: chat.history_parts(b.table("conversations")),
     "event_log_text": lambda b: chat.answer_text(b.answer_log),

@@ -782,3 +782,43 @@ SELECT window_start, any_value(n) AS event_count,
   min(ms) FILTER (WHERE 100 * r >= 99 * n) AS p99_ms, true AS near_exact
 FROM placed GROUP BY window_start
 """)
+
+SQL["search_index"] = SQL["fuzzy_search_table"]
+SQL["stored_upsert"] = _q("""
+, src AS (
+  SELECT o_custkey AS key, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS value FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+    FROM orders) WHERE r = 1
+), merged AS (
+  SELECT coalesce(c_custkey, s.key) AS key,
+    CASE WHEN s.key IS NOT NULL THEN s.value ELSE c_mktsegment END AS value,
+    CASE WHEN s.key IS NOT NULL THEN now ELSE now - INTERVAL 1 DAY END AS updated
+  FROM customer FULL OUTER JOIN src s ON c_custkey = s.key, clock
+)
+SELECT key, CASE WHEN value = '1-URGENT' THEN 'now' ELSE value END AS value, updated FROM merged
+UNION ALL SELECT -1 - n_nationkey, n_name, now FROM nation, clock
+""")
+SQL["column_profile_stored"] = _q(f"""
+, long AS ({_LONG})
+SELECT column_name, value, count, CAST(rank AS INTEGER) AS rank, rows, nulls, true AS near_exact FROM (
+  SELECT column_name, value, count(*) AS count,
+    row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rank
+  FROM long WHERE value IS NOT NULL GROUP BY column_name, value)
+JOIN (SELECT column_name, count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS nulls FROM long GROUP BY column_name)
+  USING (column_name)
+WHERE rank <= 5
+""")
+SQL["event_table"] = _q("""
+SELECT CAST(event_ts AS DATE) AS event_date, event_type, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids, 1::BIGINT AS files
+FROM ev WHERE event_ts IS NOT NULL GROUP BY ALL
+""")
+SQL["interleaved_events"] = _q("""
+, asked AS (SELECT event_id, position_id = 7 AS one, event_ts >= now - INTERVAL 1 HOUR AS hour FROM ev, clock)
+SELECT 'position' AS asked, count(*) AS events, max(event_id) AS last FROM asked WHERE one
+UNION ALL SELECT 'hour', count(*), max(event_id) FROM asked WHERE hour
+UNION ALL SELECT 'both', count(*), max(event_id) FROM asked WHERE one AND hour
+""")
+SQL["model_checked_keys"] = _q("""
+SELECT fund, count(*) FILTER (WHERE event_type = 'TRADE') AS trades, CAST(round(sum(qty), 2) AS DOUBLE) AS traded_qty
+FROM ev LEFT JOIN pos USING (position_id) WHERE event_type <> 'WARMUP' GROUP BY fund
+""")
