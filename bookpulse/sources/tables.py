@@ -75,7 +75,11 @@ def interleaved(df: DataFrame, columns: list[str]) -> DataFrame:
     place = F.lit(0).cast("long")
     for i, c in enumerate(columns):
         above = [F.lit(cut) for cut in cuts[i] or []]
-        bin_ = F.coalesce(F.size(F.filter(F.array(*above), lambda cut: cut < number(c))), F.lit(0)).cast("long") if above else F.lit(0).cast("long")
+        bin_ = F.lit(0).cast("long")
+        if above:
+            # One-element array: the value is computed once, not for each cut.
+            below = F.transform(F.array(number(c)), lambda value: F.size(F.filter(F.array(*above), lambda cut: cut < value)))
+            bin_ = F.coalesce(F.get(below, F.lit(0)), F.lit(0)).cast("long")
         for b in range(ORDER_BITS):
             place = place.bitwiseOR(F.shiftleft(F.shiftright(bin_, b).bitwiseAND(F.lit(1).cast("long")), b * len(columns) + i))
     return df.withColumn("_place", place)
