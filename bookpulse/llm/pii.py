@@ -232,9 +232,9 @@ def joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every document.
 
-    The counts are those of base matches.
+    The counts by kind are those of base matches, ``n_spans`` that of all spans.
     """
     rows, placed = occurrences(docs)
     placed = store(placed, "placed")
@@ -256,4 +256,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *[F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.sha2(F.coalesce(joined(F.col("base_spans")), none), 256).alias("base_sha256"),
         F.coalesce(joined(F.col("all_spans")), none).alias("spans"),
+        F.when(F.col("all_spans").isNull(), 0).otherwise(F.size("all_spans")).cast("long").alias("n_spans"),
     )

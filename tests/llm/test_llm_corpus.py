@@ -81,7 +81,8 @@ def test_contexts_discover_unseen_identifiers(spark):
     for k in (40, 41):
         at = texts[k].index("10-20")
         assert got[k].spans == f"ip:{at}:{at + len('10-20-30-77-x')}" and got[k].n_ip == 0
-    assert got[42].spans == ""
+    assert got[42].spans == "" and got[42].n_spans == 0
+    assert got[40].n_spans == 1 and all(got[k].n_spans == got[k].n_ip == 1 for k in range(40))
 
 
 def test_instances_within_long_runs(spark):
