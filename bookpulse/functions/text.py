@@ -13,10 +13,15 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def pieces(text: Column) -> Column:
+    """Distinct three-letter pieces of a text that is plain already, padded."""
+    padded = F.concat(F.lit("  "), text, F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(...))"), 1))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct three-letter pieces of the padded plain text."""
-    padded = F.concat(F.lit("  "), plain(text), F.lit(" "))
-    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(...))"), 1))
+    return pieces(plain(text))
 
 
 def jaccard(left: Column, right: Column) -> Column:

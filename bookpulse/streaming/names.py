@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.functions.text import plain, trigrams
-from bookpulse.operators.search import ranked
+from bookpulse.functions.text import pieces, trigrams
+from bookpulse.operators.search import Names, by_text, in_rounds, written
+from bookpulse.session import work_dir
 from bookpulse.streaming.keyed import KeyedTable, Sequence
 from bookpulse.streaming.sinks import batch_key, read_if_there
 
@@ -88,11 +89,19 @@ class NameIndex:
     def search(
         self, queries: DataFrame, query_key: str = "query_id", query: str = "query", least: float = 0.3, max_results: int = 10
     ) -> DataFrame:
-        """As ``search_table`` over the current names. Query keys are distinct."""
+        """As ``search_table`` over the current names. Query keys are distinct.
+
+        Each round reads the folders of the trigrams that its similarity asks for.
+        """
         spark = queries.sparkSession
-        asked = queries.select(query_key, query, plain(F.col(query)).alias("_text"), trigrams(F.col(query)).alias("_asked"))
-        first = self.rarest(asked, query_key, least)
-        fits = (F.col("grams") >= F.col("size") * least - 1e-9) & (F.col("grams") * least - 1e-9 <= F.col("size"))
-        pairs = first.join(self.posted(spark, first), "gram").where(fits).select(query_key, self.key).distinct()
-        names = self.names.lookup(pairs.select(self.key).distinct()).withColumn("_grams", trigrams(F.col(self.name)))
-        return ranked(pairs, asked, names, self.name, self.key, query_key, query, (), least, max_results)
+        path = work_dir(spark, "search")
+
+        def names_of(left: DataFrame, at: float) -> Names:
+            first = self.rarest(left.withColumn("_asked", pieces(F.col("_text"))), "_text", at)
+            sizes = written(first.groupBy("gram").agg(F.min("size").alias("low"), F.max("size").alias("high")), f"{path}/grams-{at}")
+            fits = (F.col("grams") >= F.col("low") * at - 1e-9) & (F.col("grams") * at - 1e-9 <= F.col("high"))
+            keys = self.posted(spark, sizes).join(sizes, "gram").where(fits).select(self.key).distinct()
+            found = self.names.lookup(written(keys, f"{path}/keys-{at}"))
+            return by_text(found, self.name, self.key, max_results, f"{path}/names-{at}")
+
+        return in_rounds(queries, names_of, self.name, self.key, query_key, query, (), least, max_results, path)

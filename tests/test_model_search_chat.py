@@ -3,6 +3,7 @@ import random
 
 import pytest
 from fixtures import CLOCK, frames
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookpulse.operators import chat, search
@@ -77,6 +78,53 @@ def test_a_table_of_queries_loses_no_match(spark):
     assert got == pytest.approx(want)
 
 
+def test_equal_texts_meet_once(spark, tmp_path):
+    """The pairs of a table of queries don't grow with the copies of a text; the ranks are those of all pairs."""
+    names = ["red bolt", "Red  BOLT!", "red bolts", "blue ring", "old red bolt", "A", ""]
+    rows = [(k, names[k % 7] if k % 50 else None) for k in range(700)] + [(None, "red bolt")]
+    catalog = spark.createDataFrame(rows, "position_id int, issuer string")
+    queries = spark.createDataFrame([(k, n) for k, n in rows if k is not None and k % 9 == 0], "query_id int, query string")
+    by_text = search.by_text(catalog, "issuer", "position_id", 10, str(tmp_path / "names"))
+    assert by_text.rows.count() == 60 and by_text.texts.count() == 6
+    asked = spark.createDataFrame([("red bolt",), ("blue ring",)], "_text string")
+    near = search.near_texts(asked, by_text, 0.5, 10, str(tmp_path / "shared"))
+    assert sorted((r._text, r._plain) for r in near.collect()) == [
+        ("blue ring", "blue ring"), ("red bolt", "old red bolt"), ("red bolt", "red bolt"), ("red bolt", "red bolts"),
+    ]
+    pairs = queries.crossJoin(catalog.where("position_id is not null")).select(
+        "*", search.jaccard(search.trigrams(F.col("issuer")), search.trigrams(F.col("query"))).alias("score"),
+        F.levenshtein(search.plain(F.col("issuer")), search.plain(F.col("query"))).alias("distance"),
+    ).where("score >= 0.3")
+    for most in (10, 130, 250):  # full at once, some full, none full
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "position_id"))
+        want = pairs.withColumn("rank", place).where(F.col("rank") <= most)
+        got = search.search_table(catalog, queries, max_results=most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_a_frequent_trigram_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 7)
+    test_a_table_of_queries_loses_no_match(spark)
+    test_equal_texts_find_the_closest_of_many(spark)
+
+
+def test_equal_texts_find_the_closest_of_many(spark):
+    """Distinct names: queries full at a high similarity and such as go on to the least one."""
+    rng = random.Random(7)
+    words = ["red", "blue", "bolt", "ring", "small"]
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)} {rng.randrange(10 ** rng.choice([1, 3]))}" for _ in range(300)})
+    catalog = spark.createDataFrame(list(enumerate(names)), "position_id int, issuer string")
+    queries = spark.createDataFrame([(k, names[k]) for k in range(0, len(names), 11)], "query_id int, query string")
+    got = {}
+    for r in search.search_table(catalog, queries, max_results=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.position_id, r.score))
+    for q in range(0, len(names), 11):
+        found = sorted(got[q])
+        scores = sorted((trigram_score(names[q], n) for n in names), reverse=True)
+        assert [s for _, _, s in found] == pytest.approx([s for s in scores[:3] if s >= 0.3])
+        assert found[0][1] == q and all(s == pytest.approx(trigram_score(names[q], names[p])) for _, p, s in found)
+
+
 def test_model_ranges_and_key_checks(sources):
     import bookpulse.plans.model as model
 
