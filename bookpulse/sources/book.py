@@ -113,12 +113,15 @@ def bodies_of(events: DataFrame) -> DataFrame:
     return events.select("event_id", "event_ts", body.alias("body"))
 
 
-def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
+def stream_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64, spread: bool = False) -> DataFrame:
+    """The events as a stream; ``spread`` deals the raw rows over tasks, however few row groups hold them."""
     raw = (
         spark.readStream.schema(TABLE_SCHEMAS["events"])
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{sf_dir}/events*.parquet")
     )
+    if spread:
+        raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id", "user_id", "ts")
     return as_book_events(raw)
 
 

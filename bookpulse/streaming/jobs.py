@@ -39,7 +39,8 @@ def _requested(spark: SparkSession, sf_dir: str, name: str) -> RequestSink:
     """All request bodies through one stream."""
     base = work_dir(spark, name)
     sink = RequestSink(base)
-    bodies = book.bodies_of(book.stream_events(spark, sf_dir)).withColumnRenamed("event_id", "body_id")
+    # Parsing costs far more than reading, so a large file must not be one task's.
+    bodies = book.bodies_of(book.stream_events(spark, sf_dir, spread=True)).withColumnRenamed("event_id", "body_id")
     _finish(streams.start(bodies, sink, f"{base}/checkpoint"))
     return sink
 

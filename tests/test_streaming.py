@@ -235,3 +235,25 @@ def test_event_table_layout(spark, tmp_path):
     flat = str(tmp_path / "csv")
     positions.write.option("header", True).csv(flat)
     assert sorted(map(tuple, tables.read_positions_csv(spark, flat).collect())) == sorted(map(tuple, positions.collect()))
+
+
+def test_requests_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    from bookpulse.streaming import jobs
+    from bookpulse.streaming.sinks import RequestSink
+
+    rows = spark.range(500).selectExpr(
+        "id AS event_id", "make_timestamp_ntz(2024, 1, 1, 0, 0, 0) AS ts", "id % 7 AS user_id",
+        "element_at(array('view', 'click', 'purchase', 'signup', 'error'), int(id % 5) + 1) AS event_type",
+        "double(id) AS value", """concat('{"k": ', id % 100, '}') AS props""",
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes, stored = [], RequestSink.__call__
+
+    def seen(self, batch, batch_id):
+        sizes.append([r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect()])
+        stored(self, batch, batch_id)
+
+    monkeypatch.setattr(RequestSink, "__call__", seen)
+    got = {r.body_id for r in jobs.run_quarantine(spark, str(tmp_path)).collect()}
+    assert got == {k for k in range(500) if k % 5 in (0, 3)}
+    assert len(sizes) == 1 and len(sizes[0]) == 4 and sum(sizes[0]) == 500
