@@ -96,6 +96,23 @@ def test_the_index_gives_what_a_search_over_all_names_gives(spark, tmp_path):
             assert rows_of(index.search(queries, least=least)) == rows_of(want.select(*index.search(queries).columns))
 
 
+def test_copies_in_the_index_meet_once(spark, tmp_path, monkeypatch):
+    """Queries of one text search once, and no more copies of a name are ranked than may be asked for."""
+    from bookpulse.streaming import names
+
+    kept, by_text = [], names.by_text
+    monkeypatch.setattr(names, "by_text", lambda *a: kept.append(by_text(*a)) or kept[-1])
+    rows = [(k, ["red bolt", "blue ring", "Red Bolt."][k % 3]) for k in range(300)]
+    catalog = spark.createDataFrame(rows, "position_id long, issuer string")
+    index = NameIndex(str(tmp_path / "index"), folders=4, compact=100)
+    index.change(catalog, "a")
+    queries = spark.createDataFrame([(k, n) for k, n in rows if k % 4 == 0], "query_id long, query string")
+    got = sorted((r.query_id, r.rank, r.position_id) for r in index.search(queries).collect())
+    alike = {0: [k for k in range(300) if k % 3 != 1][:10], 1: [k for k in range(300) if k % 3 == 1][:10]}
+    assert got == [(q, n + 1, k) for q in range(0, 300, 4) for n, k in enumerate(alike[int(q % 3 == 1)])]
+    assert [(n.rows.count(), n.texts.count()) for n in kept] == [(20, 2)]  # all are full at the first similarity
+
+
 def test_a_search_reads_few_postings_and_a_change_one_segment(spark, tmp_path):
     index = NameIndex(str(tmp_path / "index"), folders=32, compact=100)
     index.change(names_of(spark, range(300)), "a")
