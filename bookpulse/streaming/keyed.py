@@ -33,12 +33,13 @@ class KeyedTable:
     def _folder(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.folders)).cast("int")
 
-    def _stored(self, spark: SparkSession, before: int | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """The newest base, and the changes after it, of what was written before a number."""
+    def _stored(self, spark: SparkSession, before: int | None, based: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+        """The newest base (before ``based``, if given), and the changes after it, of what was written before a number."""
         base = read_if_there(spark, f"{self.path}/base", T.StructType([*self.schema, *T.StructType.fromDDL("seq long, folder int")]))
         upto = -1
         if base is not None:
-            base = base.where(F.col("seq") < before) if before is not None else base
+            based = before if based is None else based
+            base = base.where(F.col("seq") < based) if based is not None else base
             found = base.agg(F.max("seq")).first()[0]  # of folder names
             upto = -1 if found is None else found
             base = base.where(F.col("seq") == upto)
@@ -48,13 +49,18 @@ class KeyedTable:
             changes = changes.where(F.col("seq") < before) if before is not None else changes
         return base, changes
 
-    def _newest(self, base: DataFrame | None, changes: DataFrame | None) -> DataFrame | None:
+    def _newest(self, base: DataFrame | None, changes: DataFrame | None, keys: DataFrame | None = None) -> DataFrame | None:
         parts = [p for p in (base.drop("folder") if base is not None else None, changes) if p is not None]
         if not parts:
             return None
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        place = F.row_number().over(Window.partitionBy(self.key).orderBy(F.desc("seq")))
-        return rows.withColumn("place", place).where((F.col("place") == 1) & ~F.col("gone")).drop("place", "seq", "gone")
+        rows = rows.join(keys, self.key, "left_semi") if keys is not None else rows
+        return self._first(rows, self.key).drop("seq", "gone")
+
+    def _first(self, rows: DataFrame, *by: str) -> DataFrame:
+        """The newest rows, of keys that have not left."""
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("seq")))
+        return rows.withColumn("place", place).where((F.col("place") == 1) & ~F.col("gone")).drop("place")
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """The current row of every key."""
@@ -68,20 +74,24 @@ class KeyedTable:
         if base is not None:
             folders = [r.folder for r in keys.select(self._folder().alias("folder")).distinct().collect()]  # at most ``folders``
             base = base.where(F.col("folder").isin(folders))
-        found = self._newest(base, changes)
-        if found is None:
-            return spark.createDataFrame([], T.StructType(self.schema[:-1]))
-        return found.join(keys, self.key, "left_semi")
+        found = self._newest(base, changes, keys)
+        return found if found is not None else spark.createDataFrame([], T.StructType(self.schema[:-1]))
 
     def change(self, rows: DataFrame, seq: int) -> None:
         """New rows for the keys in ``rows``; a number written again replaces what it wrote."""
         rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/changes/seq={seq}")
         if (seq + 1) % self.compact == 0:
             spark = rows.sparkSession
-            current = self.read(spark, seq + 1).withColumn("gone", F.lit(False)).withColumn("folder", self._folder())
-            current.hint("rebalance", "folder").sortWithinPartitions("folder", self.key).write.mode("overwrite").partitionBy("folder").parquet(
-                f"{self.path}/base/seq={seq}"
-            )
+            base, changes = self._stored(spark, seq + 1, seq)  # not the base that an earlier run of the change wrote
+            rows = changes.withColumn("folder", self._folder())
+            rows = rows if base is None else rows.unionByName(base)
+            # One move serves the window and the folders.
+            current = self._first(rows.repartition("folder"), "folder", self.key).drop("seq").withColumn("gone", F.lit(False))
+            current.sortWithinPartitions("folder", self.key).write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/base/seq={seq}")
+
+    def base(self, spark: SparkSession, seq: int) -> DataFrame:
+        """The current rows as the change with this number left them, if it made a base."""
+        return spark.read.schema(T.StructType(self.schema[:-1])).parquet(f"{self.path}/base/seq={seq}")
 
     def changed(self, spark: SparkSession, seq: int) -> DataFrame:
         """The rows that one change wrote, those of keys that left included."""

@@ -113,6 +113,25 @@ def test_copies_in_the_index_meet_once(spark, tmp_path, monkeypatch):
     assert [(n.rows.count(), n.texts.count()) for n in kept] == [(20, 2)]  # all are full at the first similarity
 
 
+def test_the_trigrams_of_a_text_are_stored_once_for_all_its_keys(spark, tmp_path):
+    index = NameIndex(str(tmp_path / "index"), folders=4, compact=2)
+    rows = [(k, ["red bolt", "blue ring", "Red Bolt."][k % 3]) for k in range(300)]
+    stored = lambda path: spark.read.parquet(path).count()
+    for part, name in ((rows[:150], "a"), (rows[150:], "b")):
+        index.change(spark.createDataFrame(part, "position_id long, issuer string"), name)
+    assert (stored(f"{index.postings}/changes/seq=0"), stored(f"{index.copies}/changes/seq=0")) == (9 + 10, 148)
+    assert (stored(f"{index.postings}/base/seq=1"), stored(f"{index.copies}/base/seq=1")) == (9 + 10, 298)
+    assert not list(tmp_path.glob("index/*ts/changes/seq=1"))  # the base holds them
+    # The first keys of both texts change or leave; their postings stand for the others still.
+    last = [(0, "blue ring", False), (1, None, True), (2, "green cog", False)]
+    index.change(spark.createDataFrame(last, "position_id long, issuer string, gone boolean"), "c")
+    queries = spark.createDataFrame([(1, "red bolt"), (2, "blue ring"), (3, "green cog")], "query_id long, query string")
+    got = index.search(queries, least=0.9, max_results=3)
+    assert sorted((r.query_id, r.rank, r.position_id) for r in got.collect()) == [
+        (1, 1, 3), (1, 2, 5), (1, 3, 6), (2, 1, 0), (2, 2, 4), (2, 3, 7), (3, 1, 2),
+    ]
+
+
 def test_a_search_reads_few_postings_and_a_change_one_segment(spark, tmp_path):
     index = NameIndex(str(tmp_path / "index"), folders=32, compact=100)
     index.change(names_of(spark, range(300)), "a")
